@@ -67,8 +67,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")), threshold=0.7).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted", "n_segments", "top_start", "top_end")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_token_counts, op7_minhash_near_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,12 +1,12 @@
 """Toxic passages by maximum-scoring segments.
 
 Fit: documents labelled toxic or not give, for every word and word beginning, a log-odds ratio with a Dirichlet prior
-(of mass `prior` on each feature); features whose ratio is large and significant become the lexicon. A word scores its
-own ratio, else that of its longest listed beginning, else a small negative drift. Scan: a linear-time pass finds all
+(of mass `prior` on each feature); features whose ratio is large and significant become the lexicon. A word scores
+the largest ratio listed for it or one of its beginnings, else a small negative drift. Scan: a linear-time pass finds all
 maximal scoring segments of a text (every one is a passage more toxic than its surroundings). Calibrate: with Karlin and
 Altschul's statistics, lambda solves sum p(s) exp(lambda s) = 1 over the scores of clean text and K is fitted to clean
 texts' best segments, so that lambda S - ln(K n) is comparable across lengths; a logistic curve fitted to the labels
-turns the document's extreme value and its sum over significant segments into a score between 0 and 1.
+turns the document's extreme value and the sum statistic over its segments into a score between 0 and 1.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from tessera.llm.common import map_arrow
 
 letters = re.compile(r"[^\W\d_]+").findall
 #: Lengths of word beginnings that are features.
-BEGINNINGS = (4, 5, 6, 7)
+BEGINNINGS = (3, 4, 5, 6, 7)
 
 
 @dataclass(frozen=True)
@@ -48,10 +48,10 @@ class Scores(dict):
     def __missing__(self, word: str) -> float:
         if len(self) >= self.most:
             self.clear()
-        score = self.model.words.get(word)
-        if score is None:
-            score = next((s for k in reversed(BEGINNINGS) if len(word) >= k and (s := self.model.beginnings.get(word[:k])) is not None), self.model.drift)
-        self[word] = score
+        found = [s for k in BEGINNINGS if len(word) >= k and (s := self.model.beginnings.get(word[:k])) is not None]
+        if (own := self.model.words.get(word)) is not None:
+            found.append(own)
+        score = self[word] = max(found, default=self.model.drift)
         return score
 
 
@@ -83,7 +83,7 @@ def maximal_segments(scores: list[float] | np.ndarray) -> list[tuple[int, int, f
 
 
 def evidence(text: str | None, scores: Scores) -> tuple[float, float, int, list[tuple[int, int, float]]]:
-    """(extreme value, sum over significant segments, words, segments) of a whole text."""
+    """(extreme value, sum statistic over segments, words, segments) of a whole text."""
     found = letters((text or "").lower())
     n = len(found)
     if not n:
@@ -93,8 +93,20 @@ def evidence(text: str | None, scores: Scores) -> tuple[float, float, int, list[
         return 0.0, 0.0, n, []
     m = scores.model
     segments = maximal_segments(values)
-    z = [m.lam * s - m.log_k - math.log(n) for _, _, s in segments]
-    return max(0.0, *z), sum(x for x in z if x > 0), n, segments
+    z = sorted((m.lam * s - m.log_k - math.log(n) for _, _, s in segments), reverse=True)
+    return max(0.0, z[0]), sum_statistic(z), n, segments
+
+
+def sum_statistic(z: list[float]) -> float:
+    """-ln of the chance of the best r segments' normalised scores, e^-T T^(r-1) / (r! (r-1)!), at the r that makes it largest; 0 if none is positive."""
+    best = total = 0.0
+    for r, x in enumerate(z, 1):
+        total += x
+        if total > 0:
+            best = max(best, total - (r - 1) * math.log(max(total, 1.0)) + math.lgamma(r + 1) + math.lgamma(r))
+        elif x < 0:
+            break
+    return best
 
 
 def features(extreme: float, total: float) -> tuple[float, float]:
@@ -130,7 +142,7 @@ def count_features(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(run, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 30) -> np.ndarray:
     """Weights of [1, x] by Newton's method with a ridge on the slopes."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
@@ -141,7 +153,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     return w
 
 
-def fit(labelled: DataFrame, prior: float = 0.5, least_z: float = 2.6, least_ratio: float = 1.5, drift: float = -0.7, max_lexicon: int = 50_000, max_rows: int = 20_000) -> Model:
+def fit(labelled: DataFrame, prior: float = 0.5, least_z: float = 2.6, least_ratio: float = 3.0, drift: float = -0.7, max_lexicon: int = 50_000, max_rows: int = 20_000) -> Model:
     """Fit to labelled (text, toxic) rows: at most max_rows of them, which bounds all that reaches the driver.
 
     Without rows of both classes the model knows no toxic word and every text scores the share of toxic rows (0 without any).
