@@ -67,6 +67,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")), threshold=0.7).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted", "n_segments", "top_start", "top_end")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", F.length("text").cast("long").alias("n_chars"), "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.minhash import near_duplicates
 
@@ -74,7 +80,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_token_counts, op7_minhash_near_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_token_counts, op4_line_dedup, op7_minhash_near_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
