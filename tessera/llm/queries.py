@@ -16,6 +16,26 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.chat import fold, read_back, render
+
+    kept = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.sql("select -1L conv_id, turn, role, '</s>[INST] ok [/INST]' text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
+    events = kept.unionByName(control).select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("event"), F.lit(None).cast("string").alias("message_id"), "role", "text")
+    return read_back(render(fold(events)))
+
+
+OP1_SQL = r"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+m AS (SELECT *, regexp_extract_all(text, '<\\*/?s>|\[\\*/?(INST|SYS|TEXT)\]|\[\\*(OUT|ROLE)\]') AS marks FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(text) + len(marks) + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 11 WHEN 'system' THEN 14 ELSE 19 + length(role) END)::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality_rules import BASE, STRICT, apply_policy, fails, measure
 
@@ -60,6 +80,13 @@ def toxicity_model(docs: DataFrame, labels: DataFrame):
     return fit(labelled_sample(docs, labels, ~held_out()))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontamination import find_leaks
+
+    found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("leaks") > 0).alias("leaked"), F.size("leaks").cast("long").alias("n_items"), F.transform("leaks", lambda x: x["item_id"]).alias("item_ids"), F.coalesce(F.array_max(F.transform("leaks", lambda x: x["share"])), F.lit(0.0)).alias("share"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.toxicity import score
 
@@ -73,6 +100,33 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", F.length("text").cast("long").alias("n_chars"), "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op5_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.sampling import sample_segmentations
+
+    samples = sample_segmentations(table(spark, sf_dir, "documents"), tokenizer_path(), k=2, seed=17)
+    return samples.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed", "log_inclusion", "exact")
+
+
+#: Bytes of a shard; of the order that training loaders read at a time.
+SHARD_BYTES = 16 << 20
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.sharding import assign_shards
+
+    return assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, substr(bin(('0x' || substr(md5(doc_id::VARCHAR), 1, 5))::BIGINT + 1048576), 2) AS prefix FROM documents),
+levels AS (SELECT prefix, n_bytes, substr(prefix, 1, level) AS shard FROM d, (SELECT unnest(range(0, 21)) AS level)),
+totals AS (SELECT shard, sum(n_bytes)::BIGINT AS shard_bytes FROM levels GROUP BY shard HAVING sum(n_bytes) <= {SHARD_BYTES}),
+best AS (SELECT d.doc_id, d.n_bytes, t.shard, t.shard_bytes, row_number() OVER (PARTITION BY d.doc_id ORDER BY length(t.shard)) AS k
+  FROM d, (SELECT unnest(range(0, 21)) AS level) JOIN totals t ON t.shard = substr(d.prefix, 1, level))
+SELECT doc_id, n_bytes, shard, shard_bytes, false AS oversize FROM best WHERE k = 1
+"""
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.minhash import near_duplicates
 
@@ -80,8 +134,8 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_token_counts, op4_line_dedup, op7_minhash_near_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_token_counts, op4_line_dedup, op5_sampled_segmentations, op6_sharding, op7_minhash_near_dedup, op9_decontamination, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op2_quality_rules": OP2_SQL, "op6_sharding": OP6_SQL}
