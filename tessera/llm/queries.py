@@ -80,6 +80,12 @@ def toxicity_model(docs: DataFrame, labels: DataFrame):
     return fit(labelled_sample(docs, labels, ~held_out()))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.html_crf import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.decontamination import find_leaks
 
@@ -134,7 +140,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_token_counts, op4_line_dedup, op5_sampled_segmentations, op6_sharding, op7_minhash_near_dedup, op9_decontamination, op10_toxicity)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_token_counts, op4_line_dedup, op5_sampled_segmentations, op6_sharding, op7_minhash_near_dedup, op8_html_extraction, op9_decontamination, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -240,3 +240,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     chosen = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     return map_arrow(chosen, per_slice, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, score double, predicted int, n_segments long, top_start long, top_end long, extreme double", lambda: Scores(shared.value))
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """docs without the rows whose text scores threshold or more; each row by its own text, so nothing is joined. All columns pass through."""
+    shared, at, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col), docs.columns
+
+    def per_slice(batch: pa.RecordBatch, scores: Scores) -> pa.RecordBatch:
+        keep = [probability(scores.model, *evidence(t, scores)[:2]) < threshold for t in batch.column(at).to_pylist()]
+        return pa.RecordBatch.from_arrays(batch.columns, names).filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(docs, per_slice, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), lambda: Scores(shared.value))
