@@ -20,7 +20,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import HashCache, ascii_lower_words, map_arrow, materialise
@@ -160,18 +160,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     # where a bucket's members are still of several components, those outside its smallest one's meet the others
     named = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     open_keys = named.groupBy("key").agg(F.min("component").alias("main"), F.max("component").alias("other")).where("main < other").select("key", "main")
-    rest = materialise(named.join(open_keys, "key"), "open")
-    signed = reps.groupBy("rep").agg(F.first("signature").alias("signature"))
-
-    def near(batch: pa.RecordBatch) -> pa.RecordBatch:
-        left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for k in (2, 3))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((left != right).sum(axis=1) <= scheme.threshold))
-
-    x, y = rest.where("component <> main").select("key", F.col("rep").alias("a"), F.col("component").alias("ca")), rest.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    # of two members outside the main component, the pair is made once
-    pairs = x.join(y, "key").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    met = pairs.join(signed.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a").join(signed.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
-    second = confirm(map_arrow(met.select("a", "b", "sa", "sb"), near, "a long, b long"))
+    rest = materialise(named.join(open_keys.select("key"), "key").select("rep", "component").distinct(), "open")
+
+    def rows_of(batch: pa.RecordBatch, hashes: HashCache) -> pa.RecordBatch:
+        sets_of = [shingles(t, width, hashes) for t in batch.column(1).to_pylist()]
+        sets_of = [np.unique(h.astype(np.uint32)) for h in sets_of]  # 32 bits each do: shingles that fall together only add candidates
+        sizes = np.array([len(h) for h in sets_of], np.int64)
+        rep, component = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False), sizes) for k in (0, 2))
+        return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(component), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets_of).view(np.int32))], ["rep", "component", "n", "shingle"])
+
+    # of two sets that similar, ordered by one rule, the first n - ceil(percent / 100 * n) + 1 shingles of each have one in common
+    exploded = materialise(map_arrow(texts.join(rest.withColumnRenamed("rep", "id"), "id"), rows_of, "rep long, component long, n long, shingle int", HashCache), "shingles")
+    common = exploded.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    ranked = exploded.join(common, "shingle").withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle")))
+    loose = percent - 1  # sizes of 32-bit sets may be a little too small
+    length = F.col("n") - F.expr(f"(n * {loose} + 99) div 100") + 1
+    head = ranked.where(F.col("at") <= length).groupBy("rep", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("head"))
+    head = head.select("rep", "component", "n", length.alias("m"), F.transform(F.filter("head", lambda x: x["df"] > 1), lambda x: x["shingle"]).alias("head"))
+    prefix = materialise(head.where(F.size("head") > 0).select("rep", "component", "n", "m", "head"), "prefix")
+    x, y = (prefix.select(F.explode("head").alias("shingle"), F.col("rep").alias(k), *(F.col(c).alias(c[0] + k) for c in ("component", "n", "m", "head"))) for k in "ab")
+    # a pair is made at its first common shingle alone, and only if what their prefixes share and what may follow is enough
+    enough = f"(na + nb) * {loose}L <= {100 + loose}L * (size(array_intersect(ha, hb)) + greatest(na - ma, nb - mb))"
+    second = confirm(x.join(y, "shingle").where("a < b and ca <> cb").where(f"least(na, nb) * 100 >= greatest(na, nb) * {loose}").where("element_at(array_intersect(ha, hb), 1) = shingle").where(enough).select("a", "b"))
     if second.limit(1).count():
         labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
 
