@@ -66,18 +66,16 @@ def token_window(text: str, size: int = 300, overlap: int = 30) -> Iterator[Piec
     if not text.strip():
         return
     parts = [(m.start(), m.end(), -(-len(m[0].strip()) // 4) or 1) for m in re.finditer(r"\s+|\S+", text)]
-    held: list[tuple[int, int, int]] = []
-    for part in parts:
-        if held and sum(p[2] for p in held) + part[2] > size:
-            yield from trimmed(text, held[0][0], held[-1][1])
-            kept, cost = len(held), 0
-            while kept and cost + held[kept - 1][2] <= overlap:
-                kept -= 1
-                cost += held[kept][2]
-            held = held[kept:]
-        held.append(part)
-    if held:
-        yield from trimmed(text, held[0][0], held[-1][1])
+    first, cost = 0, 0
+    for n, (_, _, own) in enumerate(parts):
+        if n > first and cost + own > size:
+            yield from trimmed(text, parts[first][0], parts[n - 1][1])
+            first, cost = n, 0
+            while cost + parts[first - 1][2] <= overlap:
+                first -= 1
+                cost += parts[first][2]
+        cost += own
+    yield from trimmed(text, parts[first][0], parts[-1][1])
 
 
 def separated(text: str, size: int = 500, overlap: int = 0, separator: str = "\n\n") -> Iterator[Piece]:
