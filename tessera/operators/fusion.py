@@ -54,7 +54,8 @@ def weighted_scores(hits: DataFrame, alpha: float = 0.5, method: str = "minmax",
 
 def explained(hits: DataFrame, k: int = 60) -> DataFrame:
     """(query_id, chunk_id, score, dense_rank, sparse_rank, parts, text): where a fused score comes from."""
-    term = lambda name: F.coalesce(F.format_string(f"{name} rank %d: 1/({k}+%d)", by_source("rank", name), by_source("rank", name)), F.lit(f"{name}: none"))
+    at = lambda name: by_source("rank", name).cast("string")
+    term = lambda name: F.coalesce(F.concat(F.lit(f"{name} rank "), at(name), F.lit(f": 1/({k}+"), at(name), F.lit(")")), F.lit(f"{name}: none"))
     return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1 / (k + F.col("rank"))), 9).alias("score"), by_source("rank", "dense").alias("dense_rank"), by_source("rank", "sparse").alias("sparse_rank"), F.sort_array(F.collect_list(F.struct("source", "rank", (1 / (k + F.col("rank"))).alias("part")))).alias("parts"), F.concat_ws("; ", term("dense"), term("sparse")).alias("text"))
 
 
@@ -75,11 +76,11 @@ SOURCE_WEIGHTS = {"hyde_vector": 1.0, "direct_vector": 0.8, "bm25": 0.6}
 CHILD_WEIGHTS = {"child_dense": 1.0, "child_bm25": 0.6}
 
 
-def merge_sources(hits: DataFrame, strategy: str = "rrf", weights: dict[str, float] | None = None, k: int = 60, rank_mode: str = "true", group: str = "query_id") -> DataFrame:
+def merge_sources(hits: DataFrame, strategy: str = "rrf", weights: dict[str, float] | None = None, k: int = 60, rank_mode: str = "true", group: str = "query_id", digits: int = 5) -> DataFrame:
     """Merge hits (query_id, source, chunk_id, score, rank) of several methods: (query_id, chunk_id, score, occurrences, methods, rank).
 
     strategy rrf (rank_mode true: by the hit's rank; occurrence: by its place among the chunk's own hits), score_weighted (mean of weighted scores) or
-    max_score; scores have five decimals.
+    max_score; scores have five decimals unless said otherwise.
     """
     if rank_mode == "occurrence":
         hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy(group, "chunk_id").orderBy("source", "rank")))
@@ -87,5 +88,5 @@ def merge_sources(hits: DataFrame, strategy: str = "rrf", weights: dict[str, flo
     for name, value in (SOURCE_WEIGHTS if weights is None else weights).items():
         weight = F.when(F.col("source") == name, F.lit(value)).otherwise(weight)
     value = {"rrf": F.sum(1 / (k + F.col("rank"))), "score_weighted": F.avg(F.col("score") * weight), "max_score": F.max("score")}[strategy]
-    merged = hits.groupBy(group, "chunk_id").agg(F.round(value, 5).alias("score"), F.count(F.lit(1)).alias("occurrences"), F.array_sort(F.collect_set("source")).alias("methods"))
+    merged = hits.groupBy(group, "chunk_id").agg(F.round(value, digits).alias("score"), F.count(F.lit(1)).alias("occurrences"), F.array_sort(F.collect_set("source")).alias("methods"))
     return ranked(merged, group=group)
