@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bounded
+
 EVENTS = ("message", "delta", "edit", "regenerate", "delete")
 
 
@@ -80,7 +82,7 @@ INSTRUCT = Template(
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """Final message fragments: conv_id, position, part, role, text; a message is the fragments of a position, joined by part.
+    """Final message fragments: conv_id, position, part, whole, role, text; a message is a fragment that is whole, or those of a position, joined by part.
 
     events: conv_id, seq (long, the order), event (EVENTS), message_id (string or null), role, text. An event without a
     message_id is a whole message of its own. With one: the first event fixes its position and role; message and edit set its text anew, delta
@@ -91,19 +93,19 @@ def fold(events: DataFrame) -> DataFrame:
     e = events.select("conv_id", F.col("seq").cast("long").alias("seq"), F.coalesce("event", F.lit("message")).alias("event"), F.col("message_id").cast("string").alias("message_id"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     e = e.withColumn("event", F.when(F.col("event").isin(*EVENTS), F.col("event")).otherwise(F.raise_error(F.concat(F.lit("unknown event "), F.col("event")))))
     e = e.withColumn("at", F.struct(F.coalesce(F.col("seq"), F.lit(-(2**63))).alias("seq"), F.coalesce("message_id", F.lit("")).alias("id"), "role", "text"))
-    whole = e.where("message_id is null").select("conv_id", "at", F.col("at").alias("position"), F.col("at").alias("part"), "role", "text")
+    whole = e.where("message_id is null").select("conv_id", "at", F.col("at").alias("position"), F.col("at").alias("part"), F.lit(True).alias("whole"), "role", "text")
     named = e.where("message_id is not null")
     sets = F.col("event") != "delta"
     heads = named.groupBy("conv_id", "message_id").agg(F.min("at").alias("position"), F.min_by("role", "at").alias("first_role"), F.max(F.when(sets, F.col("at"))).alias("last_set"), F.max_by("event", F.when(sets, F.col("at"))).alias("last_event"))
     same = (F.col("n.conv_id").eqNullSafe(F.col("h.conv_id"))) & (F.col("n.message_id") == F.col("h.message_id"))
     parts = named.alias("n").join(heads.alias("h"), same).where(F.col("h.last_set").isNull() | (F.col("n.at") >= F.col("h.last_set"))).where("not (h.last_event = 'delete' and n.at = h.last_set)")
-    parts = parts.select("n.conv_id", "n.at", "h.position", F.col("n.at").alias("part"), F.col("h.first_role").alias("role"), F.when(F.col("n.event") == "regenerate", F.lit("")).otherwise(F.col("n.text")).alias("text"))
+    parts = parts.select("n.conv_id", "n.at", "h.position", F.col("n.at").alias("part"), F.lit(False).alias("whole"), F.col("h.first_role").alias("role"), F.when(F.col("n.event") == "regenerate", F.lit("")).otherwise(F.col("n.text")).alias("text"))
     fragments = whole.unionByName(parts)
     # a regeneration of the message at p, after f, takes back what has a position between p and itself
     cuts = named.where("event = 'regenerate'").alias("n").join(heads.alias("h"), same).select("n.conv_id", F.col("n.at").alias("at"), F.col("h.position").alias("cut"))
-    marked = fragments.withColumn("cut", F.lit(None).cast(cuts.schema["cut"].dataType)).unionByName(cuts.select("conv_id", "at", F.col("at").alias("position"), F.lit(None).cast(whole.schema["part"].dataType).alias("part"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"), "cut"))
+    marked = fragments.withColumn("cut", F.lit(None).cast(cuts.schema["cut"].dataType)).unionByName(cuts.select("conv_id", "at", F.col("at").alias("position"), F.lit(None).cast(whole.schema["part"].dataType).alias("part"), F.lit(False).alias("whole"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"), "cut"))
     later = Window.partitionBy("conv_id").orderBy(F.col("position").desc(), F.col("cut").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return marked.withColumn("low", F.min("cut").over(later)).where("part is not null and (low is null or position <= low)").select("conv_id", "position", "part", "role", "text")
+    return marked.withColumn("low", F.min("cut").over(later)).where("part is not null and (low is null or position <= low)").select("conv_id", "position", "part", "whole", "role", "text")
 
 
 def stream(df: DataFrame, start, row, end, schema: str) -> DataFrame:
@@ -136,7 +138,7 @@ def stream(df: DataFrame, start, row, end, schema: str) -> DataFrame:
         if out:
             yield flush()
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def render(messages: DataFrame, template: Template = INSTRUCT) -> DataFrame:
@@ -145,7 +147,7 @@ def render(messages: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     messages: as fold returns them. Joining a conversation's pieces by piece_no gives its formatted text.
     """
     kind = messages.schema["conv_id"].dataType.simpleString()
-    lined = messages.repartition("conv_id").sortWithinPartitions("conv_id", "position", "part").select("conv_id", F.to_json("position").alias("position"), "role", "text")
+    lined = messages.repartition("conv_id").sortWithinPartitions("conv_id", "position", "part").select("conv_id", F.to_json("position").alias("position"), "whole", "role", "text")
 
     def start():
         return {"n": 0, "position": None, "role": "", "parts": []}
@@ -158,9 +160,9 @@ def render(messages: DataFrame, template: Template = INSTRUCT) -> DataFrame:
         return [(key, s["n"] - 1, piece, a, b)]
 
     def row(s, values):
-        key, position, role, text = values
+        key, position, whole, role, text = values
         out = []
-        if position != s["position"]:
+        if whole or position != s["position"]:
             out = close(key, s)
             s["position"], s["role"], s["parts"] = position, role, []
         s["parts"].append(text)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of a batch that are turned into Python objects at a time; bounds a worker's memory on long texts.
 SLICE = 256
+#: Rows of a batch between the JVM and Python.
+BATCH_ROWS = 512
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -36,6 +38,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session that hands Python at most BATCH_ROWS rows at a time, so that batches of long texts fit in memory."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def map_arrow(df: DataFrame, per_slice: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, setup: Callable | None = None) -> DataFrame:
     """mapInArrow over slices of at most SLICE rows. With setup, per_slice also gets what setup() returned, made once a task."""
 
@@ -47,7 +57,7 @@ def map_arrow(df: DataFrame, per_slice: Callable[[pa.RecordBatch], pa.RecordBatc
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 class HashCache(dict):

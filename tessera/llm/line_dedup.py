@@ -13,70 +13,112 @@ Every removed byte equals one at a smaller (id, place), so the first occurrence
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import HashCache, map_arrow, materialise
+from tessera.llm.common import map_arrow, materialise
 from tessera.llm.minhash import M1, mix
 
 #: Bytes on either side of a run that are carried for its extension; more than the longest chunk of ordinary text.
 CONTEXT = 1024
-word = re.compile(rb"[^ \t-\r]+")
 
 
-def chunks_of(text: bytes, hashes: HashCache, long_line: int, cut: int, merge: int, least: int) -> list[tuple[int, int, int, int]]:
-    """(start, end, hash, words) of the chunks, in bytes; from the first word of each to the end of its last."""
-    spans = [m.span() for m in word.finditer(text)]
-    n = len(spans)
+SPACE_BYTES = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: A random number for each byte, an odd base and its inverse, for polynomial hashes modulo 2**64.
+VALUES = mix(np.arange(1, 257, dtype=np.uint64) * M1)
+BASE = 0x2545F4914F6CDD1D
+BLOCK = 1 << 20
+_powers: list[np.ndarray] = []
+
+
+def powers() -> list[np.ndarray]:
+    """BASE and its inverse to the powers 0 to BLOCK - 1."""
+    if not _powers:
+        for base in (BASE, pow(BASE, -1, 1 << 64)):
+            out = np.ones(BLOCK, np.uint64)
+            out[1:] = np.uint64(base)
+            _powers.append(np.multiply.accumulate(out))
+    return _powers
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of each word by differences of prefix sums, a block of bytes at a time; of a word over BLOCK bytes, of its first ones."""
+    up, down = powers()
+    out, k = np.empty(len(starts), np.uint64), 0
+    while k < len(starts):
+        base = int(starts[k])
+        end = max(k + 1, int(np.searchsorted(stops, base + BLOCK, side="right")))
+        part = raw[base : min(int(stops[end - 1]), base + BLOCK)]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(VALUES[part] * up[: len(part)], out=sums[1:])
+        a, b = starts[k:end] - base, np.minimum(stops[k:end] - base, len(part))
+        out[k:end] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * M1)
+        k = end
+    return out
+
+
+def chunks_of(text: bytes, long_line: int, cut: int, merge: int, least: int) -> list[tuple[int, int, int]]:
+    """(start, end, hash) of the chunks, in bytes; from the first word of each to the end of its last."""
+    raw = np.frombuffer(text, np.uint8)
+    solid = np.zeros(len(raw) + 2, bool)
+    solid[1:-1] = ~SPACE_BYTES[raw]
+    turns = np.flatnonzero(solid[1:] != solid[:-1])
+    starts, stops = turns[::2], turns[1::2]
+    n = len(starts)
     if not n:
         return []
-    w = np.fromiter((hashes[text[a:b]] for a, b in spans), np.uint64, n)
-    starts = np.fromiter((a for a, _ in spans), np.int64, n)
+    w = word_hashes(raw, starts, stops)
     # line of each word, and the place in it
-    breaks = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
-    line = np.searchsorted(breaks, starts)
+    line = np.searchsorted(np.flatnonzero(raw == 10), starts)
     first = np.flatnonzero(np.diff(line, prepend=-1))
     length = np.diff(first, append=n)
-    long = np.repeat(length > long_line, length)
     ends = np.zeros(n, bool)  # this word ends a line
     ends[first[1:] - 1] = True
     ends[-1] = True
-    ends |= long & (mix(w) % np.uint64(cut) == 0)
-    head = np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1])
-    place = np.arange(n) - np.repeat(head, np.diff(head, append=n))
+    ends |= np.repeat(length > long_line, length) & (mix(w) % np.uint64(cut) == 0)
+    last = np.flatnonzero(ends)
+    head = np.concatenate([[0], last[:-1] + 1])
+    place = np.arange(n) - np.repeat(head, last + 1 - head)
     lines = np.add.reduceat(mix(w + M1 * place.astype(np.uint64)), head)
     before = np.concatenate([[np.uint64(0)], lines[:-1]])
-    border = (mix(before * M1 + lines) % np.uint64(merge) != 0).tolist()
-    last = (np.append(head[1:], n) - 1).tolist()
-    out, at = [], 0
-    folded, head_list, values = 0, head.tolist(), lines.tolist()
-    for k, end in enumerate(last):
-        folded = ((folded ^ values[k]) * 0x9E3779B97F4A7C15 + 1) & 0xFFFFFFFFFFFFFFFF
-        if border[k] and end + 1 - at >= least or end == n - 1:
-            out.append((spans[at][0], spans[end][1], folded - (1 << 63), end + 1 - at))
-            at, folded = end + 1, 0
-    return out
+    border = np.flatnonzero(mix(before * M1 + lines) % np.uint64(merge) != 0)
+    close, at = [], 0
+    for k, end in zip(border.tolist(), (last[border] + 1).tolist(), strict=True):
+        if end - at >= least:
+            close.append(k)
+            at = end
+    if not close or close[-1] != len(last) - 1:
+        close.append(len(last) - 1)
+    close = np.array(close)
+    opened = np.concatenate([[0], close[:-1] + 1])
+    nth = np.arange(len(lines)) - np.repeat(opened, close + 1 - opened)
+    values = np.add.reduceat(mix(lines + M1 * nth.astype(np.uint64)), opened).view(np.int64)
+    return list(zip(starts[head[opened]].tolist(), stops[last[close]].tolist(), values.tolist(), strict=True))
 
 
 def common_suffix(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    k = 0
-    while k < n and a[-1 - k] == b[-1 - k]:
-        k += 1
-    return k
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[len(a) - mid :] == b[len(b) - mid :]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    k = 0
-    while k < n and a[k] == b[k]:
-        k += 1
-    return k
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[:mid] == b[:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
 
 
 SPACES = b" \t\n\v\f\r"
@@ -102,17 +144,17 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, start, end, print) of every repeated run, in bytes of the UTF-8 text; print is a hash of these bytes. Runs may overlap."""
     chosen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("text"))
 
-    def cut_up(batch: pa.RecordBatch, hashes: HashCache) -> pa.RecordBatch:
+    def cut_up(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, rows = [], []
         for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = chunks_of((text or "").encode("utf-8", "surrogatepass"), hashes, long_line, cut, merge, least)
+            found = chunks_of((text or "").encode("utf-8", "surrogatepass"), long_line, cut, merge, least)
             ids += [(d, q) for q in range(len(found))]
             rows += found
-        columns = [*zip(*ids, strict=True)] + [*zip(*rows, strict=True)] if ids else [()] * 6
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["d", "q", "s", "e", "h", "w"])
+        columns = [*zip(*ids, strict=True)] + [*zip(*rows, strict=True)] if ids else [()] * 5
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["d", "q", "s", "e", "h"])
 
-    chunks = materialise(map_arrow(chosen, cut_up, "d long, q int, s int, e int, h long, w int", HashCache).select("d", "q", "s", "e", "h"), "chunks")
+    chunks = materialise(map_arrow(chosen, cut_up, "d long, q int, s int, e int, h long"), "chunks")
     repeated = chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     twice = materialise(chunks.join(repeated, "h"), "twice")
     firsts = twice.groupBy("h").agg(F.min(F.struct("d", "q", "s", "e")).alias("f")).select("h", F.col("f.d").alias("r"), F.col("f.q").alias("p"), F.col("f.s").alias("rs"), F.col("f.e").alias("re"))

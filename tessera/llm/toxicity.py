@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow
+from tessera.llm.common import bounded, map_arrow
 
 letters = re.compile(r"[^\W\d_]+").findall
 #: Lengths of word beginnings that are features.
@@ -139,7 +139,7 @@ def count_features(labelled: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return labelled.mapInArrow(run, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return bounded(labelled).mapInArrow(run, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 30) -> np.ndarray:
