@@ -25,7 +25,7 @@ from tessera.llm.minhash import M1, mix
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg lb lbs pound pounds oz ounce ounces ton tons ml l litre litres liter liters gallon gallons ms s sec second seconds min minute minutes h hour hours day days week weeks month months year years hz khz mhz ghz v volt volts a amp amps w watt watts kw kwh j joule joules n newton newtons pa kpa bar c f k degree degrees percent % $ € £ dollar dollars euro euros cent cents usd eur kmh mph".split())
 number = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?").fullmatch
-edges = re.compile(r"^[^\w$€£+%-]+|[^\w%$€£]+$|^[-+]+$")
+edges = re.compile(r"^\W+|\W+$")
 #: Ids of placeholders; words follow. A word that no item has is 0.
 NUM, NAME, UNIT, FIRST = 1, 2, 3, 4
 END, TITLE, UNITLIKE, LINE = 1 << 40, 1 << 41, 1 << 42, 1 << 43
@@ -34,10 +34,9 @@ SLOT = frozenset((NUM, NAME, UNIT))
 
 
 def bare(raw: bytes) -> str:
-    """A word without surrounding punctuation and symbols, case kept."""
-    text = raw.decode("utf-8", "replace")
-    core = edges.sub("", text)
-    return core.rstrip("#*$%&|<>") or core
+    """A word without surrounding punctuation and symbols, case kept; a number keeps its sign and currency, and one per cent sign."""
+    text = raw.decode("utf-8", "replace").rstrip(".,;:!?)\"'")
+    return text if number(text) else edges.sub("", text)
 
 
 class Codes(dict):
@@ -69,25 +68,27 @@ class Codes(dict):
         return code
 
 
-def template(text: str | None, codes: Codes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """(template ids, raw words, index of each id's raw word). Capitalised words inside a sentence are names, units after a number units."""
+def template(text: str | None, codes: Codes) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """(typed ids, plain ids, raw words, index of each id's raw word). Typed: capitalised words inside a sentence are names, units after a number
+    units; plain: both are words, for copies whose capitals changed."""
     raw = (text or "").encode("utf-8", "surrogatepass").replace(MARK, b" ").replace(b"\n", b" " + MARK + b" ").split()
     n = len(raw)
     if not n:
-        return np.empty(0, np.int64), raw, np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), raw, np.empty(0, np.int64)
     c = np.fromiter(map(codes.__getitem__, raw), np.int64, n)
     after_end = np.empty(n, bool)
     after_end[0] = True
     after_end[1:] = c[:-1] & END != 0
-    ids = c & (END - 1)
-    ids[(c & TITLE != 0) & ~after_end] = NAME
     at = np.flatnonzero(c & LINE == 0)
-    ids, c = ids[at], c[at]
+    name = ((c & TITLE != 0) & ~after_end)[at]
+    c = c[at]
+    plain = c & (END - 1)
+    ids = np.where(name, NAME, plain)
     if len(ids) > 1:
         unit = np.zeros(len(ids), bool)
         unit[1:] = (c[1:] & UNITLIKE != 0) & (ids[:-1] == NUM)
         ids[unit] = UNIT
-    return ids, raw, at
+    return ids, plain, raw, at
 
 
 def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
@@ -99,35 +100,38 @@ def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
 
 
 class Index:
-    """Template windows of a block of benchmark items."""
+    """Template windows of a block of benchmark items, typed and plain."""
 
     def __init__(self, items: list[tuple[int, str]], width: int):
-        self.width, self.ids, self.items = width, {}, {}
-        codes, postings = Codes(self.ids, grow=True), defaultdict(list)
+        self.width, self.ids = width, {}
+        codes, postings = Codes(self.ids, grow=True), (defaultdict(list), defaultdict(list))
+        self.items: tuple[dict, dict] = ({}, {})
         for item, text in items:
-            ids, raw, at = template(text, codes)
-            if not len(ids):
-                continue
-            size = min(width, len(ids))
-            hashes = window_hashes(ids, size).tolist()
-            places = {}
-            for i, h in enumerate(hashes):
-                places.setdefault(h, i)
-            self.items[item] = (len(places), len(ids), ids, [bare(raw[k]).lower() for k in at])
-            for h, i in places.items():
-                postings[size, h].append((item, i))
-        self.postings = dict(postings)
-        self.keys = {size: np.array(sorted(h for s, h in postings if s == size), np.uint64) for size in {s for s, _ in postings}}
+            *kinds, raw, at = template(text, codes)
+            for kind, ids in enumerate(kinds):
+                if not len(ids):
+                    continue
+                size, places = min(width, len(ids)), {}
+                for i, h in enumerate(window_hashes(ids, size).tolist()):
+                    places.setdefault(h, i)
+                self.items[kind][item] = (len(places), len(ids), ids, [bare(raw[k]).lower() for k in at])
+                for h, i in places.items():
+                    postings[kind][size, h].append((item, i))
+        self.postings = tuple(map(dict, postings))
+        self.keys = tuple({size: np.array(sorted(h for s, h in p if s == size), np.uint64) for size in {s for s, _ in p}} for p in self.postings)
 
     def search(self, text: str | None, codes: Codes, share: float) -> list[tuple]:
         """(item, share found, first word, last word + 1, changed slots) of every item that leaks into the text; words of its template."""
-        ids, raw, at = template(text, codes)
-        known = ids > 0
+        typed, plain, raw, at = template(text, codes)
+        return sorted({x[0]: x for kind, ids in ((1, plain), (0, typed)) for x in self.leaks(kind, ids, raw, at, share)}.values())
+
+    def leaks(self, kind: int, ids: np.ndarray, raw: list[bytes], at: np.ndarray, share: float) -> list[tuple]:
         met = defaultdict(list)
-        for size, keys in self.keys.items():
+        unknown = np.concatenate([[0], np.cumsum(ids == 0)])
+        for size, keys in self.keys[kind].items():
             if len(ids) < size:
                 continue
-            full = np.flatnonzero(np.convolve(known, np.ones(size, np.int64), "valid") == size)
+            full = np.flatnonzero(unknown[size:] == unknown[:-size])
             if not len(full):
                 continue
             h = np.full(len(full), np.uint64(size))
@@ -136,11 +140,11 @@ class Index:
             spot = np.searchsorted(keys, h)
             spot[spot == len(keys)] = 0
             for j in np.flatnonzero(keys[spot] == h).tolist():
-                for item, i in self.postings[size, int(h[j])]:
+                for item, i in self.postings[kind][size, int(h[j])]:
                     met[item].append((i, int(full[j])))
         out = []
         for item, hits in met.items():
-            windows, length, item_ids, item_words = self.items[item]
+            windows, length, item_ids, item_words = self.items[kind][item]
             if len({i for i, _ in hits}) < share * windows:
                 continue
             found = self.best_diagonal(hits, length)
@@ -150,7 +154,7 @@ class Index:
             changed = self.slots(item_ids, item_words, ids, raw, at, found, min(self.width, length))
             if changed is not None:
                 out.append((item, got / windows, min(j for _, j in found), max(j for _, j in found) + min(self.width, length), changed))
-        return sorted(out)
+        return out
 
     @staticmethod
     def best_diagonal(hits: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
