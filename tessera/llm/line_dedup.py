@@ -1,10 +1,11 @@
-"""Removal of passages that repeat across documents, by content-defined chunks of lines.
-
-A text is a sequence of lines; lines longer than `long_line` words are cut further after words whose hash says so, so
-that a passage inside a paragraph has lines of its own. A rolling hash over the hashes of the last two lines chooses
-chunk boundaries: they depend on nearby content only, and so come back after insertions elsewhere. Chunks whose hash
-occurs more than once are repeated; neighbours repeated in the same way form a run. Runs are then compared, byte by byte,
-with the first occurrence (smallest id, then place) and extended on both sides over all bytes that agree, to whole words.
+"""Removal of passages that repeat across documents, by content-defined line chunks.
+
+Passages may lie inside a paragraph, so lines are wrapped at every word: a line here is a word, and a chunk is many lines.
+A rolling hash over the hashes of the next 16 lines is taken at every place; a chunk starts wherever it is the least of
+32 places around. Starts depend on nearby content only, and so come back after insertions elsewhere, and any 47 words in a
+row that two texts share hold a chunk that they share. Chunks whose hash occurs more than once are repeated; neighbours
+repeated with the same shift form a run. Runs are then compared, byte by byte, with the first occurrence (smallest id, then place)
+and extended on both sides over all bytes that agree, to whole words.
 Runs that touch or overlap in a document are one; those of at least `min_words` words in all go, the first occurrence
 stays.
 
@@ -19,11 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, materialise
+from tessera.llm.common import discard, map_arrow, materialise
 from tessera.llm.minhash import M1, mix
 
 #: Bytes on either side of a run that are carried for its extension; more than the longest chunk of ordinary text.
-CONTEXT = 1024
+CONTEXT = 512
+#: Bits of a chunk's length and start in bytes within the number that gives its place; longer chunks (of enormous words) are left out.
+LENGTH, START = 12, 30
 
 
 SPACE_BYTES = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
@@ -60,43 +63,45 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.nd
     return out
 
 
-def chunks_of(text: bytes, long_line: int, cut: int, merge: int, least: int) -> list[tuple[int, int, int]]:
-    """(start, end, hash) of the chunks, in bytes; from the first word of each to the end of its last."""
+def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
+    """pick (np.minimum or np.maximum) over every window of width values, by doubling."""
+    reach = 1
+    while 2 * reach <= width:
+        values = pick(values[:-reach], values[reach:])
+        reach *= 2
+    rest = width - reach
+    return pick(values[: len(values) - rest], values[rest:]) if rest else values
+
+
+def chunks_of(text: bytes, size: int, window: int) -> list[tuple[int, int, int]]:
+    """(start, end, hash) of the chunks, in bytes: size words each, from every place whose rolling hash is the least of a window of places.
+
+    Whatever holds size + window - 1 words in a row has a chunk of them alone. Where a text repeats itself, of equal neighbours one in a window stays.
+    """
     raw = np.frombuffer(text, np.uint8)
     solid = np.zeros(len(raw) + 2, bool)
     solid[1:-1] = ~SPACE_BYTES[raw]
     turns = np.flatnonzero(solid[1:] != solid[:-1])
     starts, stops = turns[::2], turns[1::2]
-    n = len(starts)
-    if not n:
+    n = len(starts) - size + 1
+    if n < 1:
         return []
     w = word_hashes(raw, starts, stops)
-    # line of each word, and the place in it
-    line = np.searchsorted(np.flatnonzero(raw == 10), starts)
-    first = np.flatnonzero(np.diff(line, prepend=-1))
-    length = np.diff(first, append=n)
-    ends = np.zeros(n, bool)  # this word ends a line
-    ends[first[1:] - 1] = True
-    ends[-1] = True
-    ends |= np.repeat(length > long_line, length) & (mix(w) % np.uint64(cut) == 0)
-    last = np.flatnonzero(ends)
-    head = np.concatenate([[0], last[:-1] + 1])
-    place = np.arange(n) - np.repeat(head, last + 1 - head)
-    lines = np.add.reduceat(mix(w + M1 * place.astype(np.uint64)), head)
-    before = np.concatenate([[np.uint64(0)], lines[:-1]])
-    border = np.flatnonzero(mix(before * M1 + lines) % np.uint64(merge) != 0)
-    close, at = [], 0
-    for k, end in zip(border.tolist(), (last[border] + 1).tolist(), strict=True):
-        if end - at >= least:
-            close.append(k)
-            at = end
-    if not close or close[-1] != len(last) - 1:
-        close.append(len(last) - 1)
-    close = np.array(close)
-    opened = np.concatenate([[0], close[:-1] + 1])
-    nth = np.arange(len(lines)) - np.repeat(opened, close + 1 - opened)
-    values = np.add.reduceat(mix(lines + M1 * nth.astype(np.uint64)), opened).view(np.int64)
-    return list(zip(starts[head[opened]].tolist(), stops[last[close]].tolist(), values.tolist(), strict=True))
+    rolled = np.zeros(n, np.uint64)
+    factor = 1
+    for k in range(size):
+        rolled += w[k : k + n] * np.uint64(factor)
+        factor = factor * BASE & 0xFFFFFFFFFFFFFFFF
+    rolled = mix(rolled)
+    wide = min(window, n)
+    least = sliding(rolled, wide, np.minimum)
+    # a place is chosen if it is the least of some window, that is, of the windows with it, the one with the largest least
+    padded = np.concatenate([np.zeros(wide - 1, np.uint64), least, np.zeros(wide - 1, np.uint64)])
+    chosen = np.flatnonzero(sliding(padded, wide, np.maximum) == rolled)
+    same = np.zeros(len(chosen), bool)
+    same[1:] = (rolled[chosen[1:]] == rolled[chosen[:-1]]) & (chosen[1:] // window == chosen[:-1] // window)
+    chosen = chosen[~same]
+    return list(zip(starts[chosen].tolist(), stops[chosen + size - 1].tolist(), rolled[chosen].view(np.int64).tolist(), strict=True))
 
 
 def common_suffix(a: bytes, b: bytes) -> int:
@@ -140,28 +145,30 @@ def extend(left: bytes, right: bytes, other_left: bytes, other_right: bytes, at_
     return a, b
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_line: int = 12, cut: int = 8, merge: int = 3, least: int = 8) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 16, window: int = 32) -> DataFrame:
     """(id, start, end, print) of every repeated run, in bytes of the UTF-8 text; print is a hash of these bytes. Runs may overlap."""
     chosen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("text"))
 
     def cut_up(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, rows = [], []
+        ids, places, hashes = [], [], []
         for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = chunks_of((text or "").encode("utf-8", "surrogatepass"), long_line, cut, merge, least)
-            ids += [(d, q) for q in range(len(found))]
-            rows += found
-        columns = [*zip(*ids, strict=True)] + [*zip(*rows, strict=True)] if ids else [()] * 5
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["d", "q", "s", "e", "h"])
-
-    chunks = materialise(map_arrow(chosen, cut_up, "d long, q int, s int, e int, h long"), "chunks")
+            found = [(q, s, e, h) for q, (s, e, h) in enumerate(chunks_of((text or "").encode("utf-8", "surrogatepass"), size, window)) if e - s < 1 << LENGTH]
+            ids += [d] * len(found)
+            places += [q << START + LENGTH | s << LENGTH | e - s for q, s, e, _ in found]
+            hashes += [h for *_, h in found]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(hashes, pa.int64())], ["d", "at", "h"])
+
+    chunks = materialise(map_arrow(chosen, cut_up, "d long, at long, h long"), "chunks")
     repeated = chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     twice = materialise(chunks.join(repeated, "h"), "twice")
-    firsts = twice.groupBy("h").agg(F.min(F.struct("d", "q", "s", "e")).alias("f")).select("h", F.col("f.d").alias("r"), F.col("f.q").alias("p"), F.col("f.s").alias("rs"), F.col("f.e").alias("re"))
-    matched = twice.join(firsts, "h").where("d <> r or q <> p").where("e - s = re - rs").select("d", "q", "s", "e", "r", "p", "rs", "re").distinct()
-    run = Window.partitionBy("d", "r", F.col("q") - F.col("p")).orderBy("q")
-    runs = matched.withColumn("g", F.col("q") - F.row_number().over(run)).groupBy("d", "r", (F.col("q") - F.col("p")).alias("shift"), "g").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min("rs").alias("rs"), F.max("re").alias("re")).select("d", "s", "e", "r", "rs", "re")
+    discard(chunks)
+    firsts = twice.groupBy("h").agg(F.min(F.struct("d", "at")).alias("f")).select("h", F.col("f.d").alias("r"), F.col("f.at").alias("ra"))
+    start, length = lambda c: F.shiftright(c, LENGTH).bitwiseAND(F.lit((1 << START) - 1)).cast("int"), lambda c: F.col(c).bitwiseAND(F.lit((1 << LENGTH) - 1)).cast("int")
+    matched = twice.join(firsts, "h").where("d <> r or at <> ra").select("d", F.shiftright("at", START + LENGTH).alias("q"), start("at").alias("s"), (start("at") + length("at")).alias("e"), "r", start("ra").alias("rs"), (start("ra") + length("ra")).alias("re")).where("e - s = re - rs").distinct()
+    run = Window.partitionBy("d", "r", F.col("s") - F.col("rs")).orderBy("q")
+    runs = matched.withColumn("g", F.col("q") - F.row_number().over(run)).groupBy("d", "r", (F.col("s") - F.col("rs")).alias("shift"), "g").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min("rs").alias("rs"), F.max("re").alias("re")).select("d", "s", "e", "r", "rs", "re")
     runs = materialise(runs, "runs")
+    discard(twice)
 
     # one pass over the texts cuts out every run and every first occurrence, with their surroundings
     asked = runs.select(F.col("d").alias("id"), F.struct(F.lit(True).alias("own"), "s", "e", "r", "rs", "re").alias("x")).unionByName(runs.select(F.col("r").alias("id"), F.struct(F.lit(False).alias("own"), F.col("rs").alias("s"), F.col("re").alias("e"), "r", "rs", "re").alias("x")).distinct())
@@ -179,13 +186,29 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 12, kinds, strict=True)], ["own", "r", "rs", "re", "d", "s", "e", "left", "body", "right", "at_start", "at_end"])
 
     cuts = materialise(map_arrow(chosen.join(by_doc.withColumnRenamed("id", "d"), "d").select("d", "text", "asked"), excerpts, "own boolean, r long, rs int, re int, d long, s int, e int, left binary, body binary, right binary, at_start boolean, at_end boolean"), "cuts")
+    discard(runs)
     own = cuts.where("own").drop("own")
     rep = cuts.where("not own").select("r", "rs", "re", F.col("left").alias("rl"), F.col("body").alias("rb"), F.col("right").alias("rr"))
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for x in batch.to_pylist():
-            if x["body"] != x["rb"]:
+            if x["body"] != x["rb"]:  # an edit of equal length within the run: its ends are taken each
+                head, tail = common_prefix(x["body"], x["rb"]), common_suffix(x["body"], x["rb"])
+                n = len(x["body"])
+                for s, e, left, right, ol, orr, first, last in (
+                    (0, head, x["left"], x["body"][head:], x["rl"], x["rb"][head:], x["at_start"], False),
+                    (n - tail, n, x["body"][: n - tail], x["right"], x["rb"][: len(x["rb"]) - tail], x["rr"], False, x["at_end"]),
+                ):
+                    a, b = extend(left, right, ol, orr, first, last)
+                    cut = x["body"][s:e].rfind(b" ") if e < n else -1
+                    if e < n:
+                        e = s + max(0, cut)
+                    elif (cut := x["body"][s:e].find(b" ")) >= 0 and s:
+                        s += cut
+                    whole = (left[len(left) - a :] if s == 0 else b"") + x["body"][s:e] + (right[:b] if e == n else b"")
+                    if whole.strip(SPACES):
+                        out.append((x["d"], x["s"] + s - (a if s == 0 else 0), x["s"] + e + (b if e == n else 0), xxhash.xxh3_64_intdigest(whole) - (1 << 63)))
                 continue
             a, b = extend(x["left"], x["right"], x["rl"], x["rr"], x["at_start"], x["at_end"])
             whole = x["left"][len(x["left"]) - a :] + x["body"] + x["right"][:b]
@@ -193,7 +216,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)], ["d", "s", "e", "print"])
 
-    return map_arrow(own.join(rep, ["r", "rs", "re"]), compare, "d long, s int, e int, print long")
+    found = materialise(map_arrow(own.join(rep, ["r", "rs", "re"]), compare, "d long, s int, e int, print long"), "repeated")
+    discard(cuts)
+    return found
 
 
 def remove(text: bytes, runs: list[dict], min_words: int) -> tuple[bytes, int]:
@@ -229,7 +254,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pass through under their names, except that an n_removed of the input is replaced.
     """
     docs = docs.drop("n_removed")
-    runs = materialise(repeated_runs(docs, id_col, text_col, **options), "repeated")
+    runs = repeated_runs(docs, id_col, text_col, **options)
     by_doc = runs.groupBy("d").agg(F.collect_list(F.struct("s", "e", "print")).alias("__runs"))
     names = docs.columns
     joined = docs.join(by_doc.withColumnRenamed("d", "__d"), F.col(id_col).cast("long") == F.col("__d"), "left").drop("__d")
