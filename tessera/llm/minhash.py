@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import HashCache, ascii_lower_words, map_arrow, materialise
+from tessera.llm.common import HashCache, ascii_lower_words, discard, map_arrow, materialise
 from tessera.llm.components import components
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -182,6 +182,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     # a pair is made at its first common shingle alone, and only if what their prefixes share and what may follow is enough
     enough = f"(na + nb) * {loose}L <= {100 + loose}L * (size(array_intersect(ha, hb)) + greatest(na - ma, nb - mb))"
     second = confirm(x.join(y, "shingle").where("a < b and ca <> cb").where(f"least(na, nb) * 100 >= greatest(na, nb) * {loose}").where("element_at(array_intersect(ha, hb), 1) = shingle").where(enough).select("a", "b"))
+    discard(texts, buckets, rest, exploded, prefix)
     if second.limit(1).count():
         labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
 
