@@ -34,6 +34,8 @@ def upserted(spark: SparkSession, sink: str, key: str) -> DataFrame:
 
 def window_counts(events: DataFrame, time: str = "ts", by: str = "event_type", length: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts and sums by event-time window; works on streams (with a watermark) and tables alike."""
-    timed = events.withWatermark(time, late) if events.isStreaming else events
+    timed = events
+    if events.isStreaming:  # watermarks want time-zoned time; the session's zone gives it and takes it back
+        timed = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     w = F.window(time, length, slide) if slide else F.window(time, length)
-    return timed.groupBy(w.alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
+    return timed.groupBy(w.alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").cast(events.schema[time].dataType).alias("start"), by, "n", "total")
