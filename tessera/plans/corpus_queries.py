@@ -133,6 +133,19 @@ h AS (SELECT word, abs({HASH31.format('word')}) % 1536 AS i FROM (SELECT DISTINC
 x AS (SELECT word, i AS idx, 1.0 AS u FROM h UNION ALL SELECT word, (i + 137) % 1536, 0.5 FROM h),
 s AS (SELECT id, idx, sum(k * u) AS w FROM w JOIN x USING (word) GROUP BY id, idx),
 e AS (SELECT id, idx, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM s)""")
+HASH33 = "list_reduce(list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT), lambda h, c: ((xor(h * 33, c) + 2147483648) & 4294967295) - 2147483648, 5381::BIGINT)"
+SIGNED_SQL = embed_sql(rf"""WITH w AS (SELECT doc_id AS id, word, count(*) AS k FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\s]', '', 'g'), '\s+'), lambda w: w <> '')) AS word FROM documents) GROUP BY ALL),
+v AS (SELECT DISTINCT word FROM w),
+f AS (SELECT word, {HASH33.format('word')} AS h, 2.0 AS u FROM v UNION ALL SELECT word, {HASH33.format('g')}, 0.5 FROM (SELECT word, unnest(list_transform(range(1, length(word) - 1), lambda i: substr(word, i, 3))) AS g FROM v)),
+x AS (SELECT word, abs(h) % 128 AS idx, sum(CASE WHEN h % 2 = 0 THEN u ELSE -u END) AS u FROM f GROUP BY 1, 2),
+s AS (SELECT id, idx, sum(k * u) AS w FROM w JOIN x USING (word) GROUP BY id, idx HAVING sum(k * u) <> 0),
+e AS (SELECT id, idx, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM s)""")
+MULTIPLIED = "list_reduce(list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT), lambda h, c: (h * {1} + c) & 4294967295, 0::BIGINT)"
+BIGRAM_SQL = embed_sql(rf"""WITH l AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(trim(lower(text)), '\W+'), lambda w: w <> '') AS ws FROM documents),
+a AS (SELECT id, unnest(ws) AS t FROM l), b AS (SELECT id, ws[k] || '_' || ws[k + 1] AS t FROM (SELECT id, ws, unnest(range(1, len(ws))) AS k FROM l)),
+x AS (SELECT t, {MULTIPLIED.format('t', 31)} % 64 AS idx, 1.0 + (length(t) % 5) * 0.1 AS u FROM (SELECT DISTINCT t FROM a)), y AS (SELECT t, {MULTIPLIED.format('t', 17)} % 64 AS idx, 0.5 AS u FROM (SELECT DISTINCT t FROM b)),
+s AS (SELECT id, idx, sum(u) AS w FROM (SELECT id, idx, u FROM a JOIN x USING (t) UNION ALL SELECT id, idx, u FROM b JOIN y USING (t)) GROUP BY id, idx),
+e AS (SELECT id, idx, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM s UNION ALL SELECT id, 0, 1.0 FROM l WHERE len(ws) = 0)""")
 FNV_SQL = embed_sql(f"WITH {fnv_sql('', 'SELECT doc_id AS id, text FROM documents')}")
 
 
@@ -180,8 +193,8 @@ QUERIES = {
     "chunk_stats": (chunk_stats, "SELECT lang, count(*) AS n, sum(t)::BIGINT AS tokens, max(t) AS most FROM (SELECT lang, ceil(length(text) / 4)::BIGINT AS t FROM documents) GROUP BY lang"),
     "contextual_chunks": (contextual_chunks, None),
     "embed_token": (embedded("token"), TOKEN_SQL),
-    "embed_signed": (embedded("signed"), None),
-    "embed_bigram": (embedded("bigram"), None),
+    "embed_signed": (embedded("signed"), SIGNED_SQL),
+    "embed_bigram": (embedded("bigram"), BIGRAM_SQL),
     "embed_neighbour": (embedded("neighbour"), NEIGHBOUR_SQL),
     "embed_char": (embedded("char"), None),
     "embed_fnv": (embedded("fnv"), FNV_SQL),

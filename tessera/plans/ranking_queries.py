@@ -144,6 +144,13 @@ tf AS{rest}, raw AS (SELECT query_id, chunk_id, sum({bm25_sql()}) AS score FROM
 SELECT question_id, chunk_id, count(*) AS occurrences, max(score) AS max_score, round(avg(score), 9) AS avg_score, round(sum(1 / (60 + rank)), 6) AS rrf_score, string_agg(query_id, ',' ORDER BY query_id) AS queries FROM hits JOIN asked USING (query_id) GROUP BY 1, 2"""
 
 
+def gain_sql() -> str:
+    head = multi_sql().rsplit("SELECT question_id, chunk_id, count(*)", 1)[0].replace(f"WHERE rank <= {POOL}", "WHERE rank <= 10")
+    return head + """, rr AS (SELECT question_id AS query_id, query_id AS v, chunk_id FROM hits JOIN asked USING (query_id)), one AS (SELECT DISTINCT query_id, chunk_id FROM rr WHERE ends_with(v, 'q_0_original')), many AS (SELECT DISTINCT query_id, chunk_id FROM rr),
+c AS (SELECT query_id, count(*) AS n_merged, count(*) FILTER (NOT EXISTS (SELECT 1 FROM one WHERE one.query_id = many.query_id AND one.chunk_id = many.chunk_id)) AS n_new FROM many GROUP BY 1), o AS (SELECT query_id, count(*) AS n_single FROM one GROUP BY 1), h AS (SELECT query_id, count(*) AS n_hits FROM rr GROUP BY 1)
+SELECT query_id, coalesce(n_single, 0) AS n_single, n_merged, n_new, round(coalesce(n_new * 100.0 / nullif(n_single, 0), 0), 6) AS recall_gain, round(1 - n_merged / n_hits, 6) AS dedup_ratio FROM c LEFT JOIN o USING (query_id) LEFT JOIN h USING (query_id)"""
+
+
 def hyde_search(spark, d):
     """Hypothetical passages and the questions themselves against the documents, by hashed embeddings and by terms, merged."""
     q = questions(spark)
@@ -364,6 +371,6 @@ QUERIES = {
     "mrr_ndcg": (mrr_ndcg, f"WITH {BENCH_HITS_SQL}, {JUDGED_SQL}, i AS (SELECT query_id, list_sum(list_transform(range(1, least(count(*), 10) + 1), lambda k: 1 / log2(k + 1))) AS idcg FROM rel GROUP BY 1), g AS (SELECT query_id, count(*) AS n, min(rank) AS f, sum(1 / log2(rank + 1)) AS dcg FROM found JOIN rel USING (query_id, chunk_id) GROUP BY 1) SELECT query_id, round(coalesce(n, 0) / 10, 6) AS precision, round(coalesce(1 / f, 0), 6) AS reciprocal_rank, round(coalesce(dcg / idcg, 0), 6) AS ndcg FROM i LEFT JOIN g USING (query_id)"),
     "rank_correlation": (rank_correlation, CORRELATION_SQL),
     "overlap_pct": (overlap_pct, OVERLAP_SQL),
-    "recall_gain": (recall_gain, None),
+    "recall_gain": (recall_gain, gain_sql()),
     "context_answers": (context_answers, None),
 }

@@ -150,7 +150,7 @@ def ivf_recall(spark, d):
     from tessera.operators.evaluate import recall
 
     table, found = ivf(spark, d)
-    return recall(found, S.top_k(table, vector_queries(spark, d), 10))
+    return recall(found, S.top_k(table, vector_queries(spark, d), 10)).withColumn("recall", F.round("recall", 6))
 
 
 def graph_recall(spark, d):
@@ -173,6 +173,12 @@ s AS (SELECT query_id, vec_id AS chunk_id, {COS.format('a', 'b')} AS score FROM
 SELECT query_id, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS k FROM s) WHERE k <= 10"""
 
 
+IVF_RECALL_SQL = IVF_SQL.rsplit("SELECT query_id, chunk_id, round(score, 6)", 1)[0].rstrip() + f""",
+i AS (SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS k FROM s) WHERE k <= 10),
+t AS (SELECT query_id, chunk_id FROM (SELECT query_id, vec_id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY {COS.format('a', 'b')} DESC, vec_id) AS k FROM v, vq) WHERE k <= 10)
+SELECT t.query_id, count(i.chunk_id) AS hits, count(*) AS wanted, round(count(i.chunk_id) / count(*), 6) AS recall FROM t LEFT JOIN i USING (query_id, chunk_id) GROUP BY 1"""
+
+
 def embed_text_cosine(spark, d):
     """Documents by hashed embeddings against the questions."""
     vectors_ = embed(load(spark, d, "documents"), "doc_id", "text", fnv_scheme()).withColumnRenamed("doc_id", "chunk_id")
@@ -255,7 +261,7 @@ QUERIES = {
     "filter_waste": (filter_waste, f"WITH {V_SQL}, s AS (SELECT query_id, vec_id AS chunk_id, label, {COS.format('a', 'b')} AS score FROM v, vq), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS k FROM s), u AS (SELECT query_id, least(5, count(*) FILTER (label IN (1, 3, 5))) AS pre_rows, least(5, count(*) FILTER (k <= 20 AND label IN (1, 3, 5))) AS post_rows FROM t GROUP BY query_id) SELECT query_id, pre_rows, post_rows, post_rows < pre_rows AS starved, round((20 - post_rows) / 20, 2) AS waste FROM u"),
     "score_threshold": (score_threshold, f"WITH {V_SQL}, s AS (SELECT query_id, vec_id AS chunk_id, {COS.format('a', 'b')} AS score FROM v, vq), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS k FROM s) SELECT query_id, chunk_id, round(score, 6) AS score FROM t WHERE k <= 10 AND score >= 0.2"),
     "ivf_topk": (ivf_topk, IVF_SQL),
-    "ivf_recall": (ivf_recall, None),
+    "ivf_recall": (ivf_recall, IVF_RECALL_SQL),
     "graph_recall": (graph_recall, None),
     "embed_text_cosine": (embed_text_cosine, TEXT_COSINE_SQL),
     "filter_ops": (filter_ops, f"WITH {META_SQL} SELECT {', '.join(f'count(*) FILTER ({w}) AS {n}' for n, (_, w) in FILTERS.items())} FROM meta"),
