@@ -76,18 +76,19 @@ class Bm25:
 def matches(tokens: DataFrame, queries: DataFrame, unique_terms: bool = True) -> DataFrame:
     """(query_id, term, qtf, chunk_id, tf, df, dl, n, avgdl) of every query term in every chunk that holds it.
 
-    Query terms prune the tokens before anything is counted by chunk; queries are small against the corpus and Spark broadcasts them if they
-    are below its threshold, else it shuffles by term.
+    The tokens are read once: terms that no query has fall together in one row a chunk, so that the same small table gives term
+    frequencies and lengths. Queries are small against the corpus; Spark broadcasts them if they are below its threshold, else it shuffles by term.
     """
     asked = queries.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     if unique_terms:
         asked = asked.withColumn("qtf", F.lit(1).cast("long"))
-    wanted = asked.select("term").distinct()
-    tf = tokens.join(wanted, "term", "left_semi").groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+    wanted = asked.select("term").distinct().withColumn("wanted", F.col("term"))
+    counts = tokens.join(wanted, "term", "left").groupBy("chunk_id", F.col("wanted").alias("term")).agg(F.count(F.lit(1)).alias("tf"))
+    full = counts.withColumn("dl", F.sum("tf").over(Window.partitionBy("chunk_id")))
+    stats = full.groupBy("chunk_id").agg(F.max("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    tf = full.where("term is not null")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    dl = lengths(tokens)
-    stats = dl.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    return tf.join(df, "term").join(asked, "term").join(dl, "chunk_id").crossJoin(F.broadcast(stats))
+    return tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))
 
 
 def bm25_contribution(o: Bm25) -> Column:
