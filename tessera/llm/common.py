@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE = 256
 #: Rows of a batch between the JVM and Python.
 BATCH_ROWS = 512
+RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -28,11 +29,17 @@ def work_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialise(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors. batch_rows: rows that Python gets at a time meanwhile."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(RECORDS)
+    if batch_rows:
+        spark.conf.set(RECORDS, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(RECORDS, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.materialised_at = path
     return out
@@ -60,9 +67,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bounded(df: DataFrame) -> DataFrame:
     """df, in a session that hands Python at most BATCH_ROWS rows at a time, so that batches of long texts fit in memory."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(RECORDS)) <= BATCH_ROWS:
+        conf.set(RECORDS, str(BATCH_ROWS))
     return df
 
 

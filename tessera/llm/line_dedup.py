@@ -25,6 +25,8 @@ from tessera.llm.minhash import M1, mix
 
 #: Bytes on either side of a run that are carried for its extension; more than the longest chunk of ordinary text.
 CONTEXT = 512
+#: Rows of a batch whose rows may hold whole texts twice.
+LONG_ROWS = 64
 #: Bits of a chunk's length and start in bytes within the number that gives its place; longer chunks (of enormous words) are left out.
 LENGTH, START = 12, 30
 
@@ -159,16 +161,17 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(hashes, pa.int64())], ["d", "at", "h"])
 
     chunks = materialise(map_arrow(chosen, cut_up, "d long, at long, h long"), "chunks")
-    repeated = chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # sums by hash are written before they are joined, so that the joins are shuffles of their own, whose hot hashes Spark splits
+    repeated = materialise(chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated")
     twice = materialise(chunks.join(repeated, "h"), "twice")
-    discard(chunks)
-    firsts = twice.groupBy("h").agg(F.min(F.struct("d", "at")).alias("f")).select("h", F.col("f.d").alias("r"), F.col("f.at").alias("ra"))
+    discard(chunks, repeated)
+    firsts = materialise(twice.groupBy("h").agg(F.min(F.struct("d", "at")).alias("f")).select("h", F.col("f.d").alias("r"), F.col("f.at").alias("ra")), "firsts")
     start, length = lambda c: F.shiftright(c, LENGTH).bitwiseAND(F.lit((1 << START) - 1)).cast("int"), lambda c: F.col(c).bitwiseAND(F.lit((1 << LENGTH) - 1)).cast("int")
     matched = twice.join(firsts, "h").where("d <> r or at <> ra").select("d", F.shiftright("at", START + LENGTH).alias("q"), start("at").alias("s"), (start("at") + length("at")).alias("e"), "r", start("ra").alias("rs"), (start("ra") + length("ra")).alias("re")).where("e - s = re - rs").distinct()
     run = Window.partitionBy("d", "r", F.col("s") - F.col("rs")).orderBy("q")
     runs = matched.withColumn("g", F.col("q") - F.row_number().over(run)).groupBy("d", "r", (F.col("s") - F.col("rs")).alias("shift"), "g").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min("rs").alias("rs"), F.max("re").alias("re")).select("d", "s", "e", "r", "rs", "re")
     runs = materialise(runs, "runs")
-    discard(twice)
+    discard(twice, firsts)
 
     # one pass over the texts cuts out every run and every first occurrence, with their surroundings
     asked = runs.select(F.col("d").alias("id"), F.struct(F.lit(True).alias("own"), "s", "e", "r", "rs", "re").alias("x")).unionByName(runs.select(F.col("r").alias("id"), F.struct(F.lit(False).alias("own"), F.col("rs").alias("s"), F.col("re").alias("e"), "r", "rs", "re").alias("x")).distinct())
@@ -185,7 +188,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         kinds = (pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.bool_())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 12, kinds, strict=True)], ["own", "r", "rs", "re", "d", "s", "e", "left", "body", "right", "at_start", "at_end"])
 
-    cuts = materialise(map_arrow(chosen.join(by_doc.withColumnRenamed("id", "d"), "d").select("d", "text", "asked"), excerpts, "own boolean, r long, rs int, re int, d long, s int, e int, left binary, body binary, right binary, at_start boolean, at_end boolean"), "cuts")
+    cuts = materialise(map_arrow(chosen.join(by_doc.withColumnRenamed("id", "d"), "d").select("d", "text", "asked"), excerpts, "own boolean, r long, rs int, re int, d long, s int, e int, left binary, body binary, right binary, at_start boolean, at_end boolean"), "cuts", LONG_ROWS)
     discard(runs)
     own = cuts.where("own").drop("own")
     rep = cuts.where("not own").select("r", "rs", "re", F.col("left").alias("rl"), F.col("body").alias("rb"), F.col("right").alias("rr"))
@@ -216,7 +219,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)], ["d", "s", "e", "print"])
 
-    found = materialise(map_arrow(own.join(rep, ["r", "rs", "re"]), compare, "d long, s int, e int, print long"), "repeated")
+    found = materialise(map_arrow(own.join(rep, ["r", "rs", "re"]), compare, "d long, s int, e int, print long"), "repeated", LONG_ROWS)
     discard(cuts)
     return found
 

@@ -41,7 +41,7 @@ class Model:
 class Scores(dict):
     """Word -> score; emptied when full."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 150_000):
         super().__init__()
         self.model, self.most = model, most
 
@@ -135,7 +135,7 @@ def count_features(labelled: DataFrame) -> DataFrame:
                 found = set(letters((text.as_py() or "").lower()))
                 counts[toxic].update("w" + w for w in found)
                 counts[toxic].update({"p" + w[:k] for w in found for k in BEGINNINGS if len(w) >= k})
-                if len(counts[0]) + len(counts[1]) > 500_000:
+                if len(counts[0]) + len(counts[1]) > 100_000:
                     yield flush()
         yield flush()
 
