@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -57,8 +58,10 @@ def discard(*tables: DataFrame) -> None:
         path = jvm.org.apache.hadoop.fs.Path(t.materialised_at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     if tables:
-        gc.collect()
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        for _ in range(2):  # what the first collection frees may hold more
+            gc.collect()
+            tables[0].sparkSession.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Passages may lie inside a paragraph, so lines are wrapped at every word: a line here is a word, and a chunk is many lines.
 A rolling hash over the hashes of the next 16 lines is taken at every place; a chunk starts wherever it is the least of
-32 places around. Starts depend on nearby content only, and so come back after insertions elsewhere, and any 47 words in a
+34 places around. Starts depend on nearby content only, and so come back after insertions elsewhere, and any 49 words in a
 row that two texts share hold a chunk that they share. Chunks whose hash occurs more than once are repeated; neighbours
 repeated with the same shift form a run. Runs are then compared, byte by byte, with the first occurrence (smallest id, then place)
 and extended on both sides over all bytes that agree, to whole words.
@@ -147,7 +147,7 @@ def extend(left: bytes, right: bytes, other_left: bytes, other_right: bytes, at_
     return a, b
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 16, window: int = 32) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 16, window: int = 34) -> DataFrame:
     """(id, start, end, print) of every repeated run, in bytes of the UTF-8 text; print is a hash of these bytes. Runs may overlap."""
     chosen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("text"))
 
