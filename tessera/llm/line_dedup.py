@@ -1,37 +1,34 @@
-"""Removal of passages that repeat across documents, by content-defined line chunks.
-
-Passages may lie inside a paragraph, so lines are wrapped at every word: a line here is a word, and a chunk is many lines.
-A rolling hash over the hashes of the next 16 lines is taken at every place; a chunk starts wherever it is the least of
-34 places around. Starts depend on nearby content only, and so come back after insertions elsewhere, and any 49 words in a
-row that two texts share hold a chunk that they share. Chunks whose hash occurs more than once are repeated; neighbours
-repeated with the same shift form a run. Runs are then compared, byte by byte, with the first occurrence (smallest id, then place)
-and extended on both sides over all bytes that agree, to whole words.
-Runs that touch or overlap in a document are one; those of at least `min_words` words in all go, the first occurrence
-stays.
-
-Every removed byte equals one at a smaller (id, place), so the first occurrence always stays whole.
+"""Removal of passages that repeat across documents: every stretch whose words all lie in windows that stand earlier too, byte by byte.
+
+Passages may lie inside a paragraph, so lines are wrapped at every word: a line here is a word, and a window is 16 lines.
+A rolling hash over the hashes of the next 8 lines is taken at every place, and the least of a window's rolling hashes stands
+for the window. It depends on the window's words only, so equal windows have equal ones, wherever they lie; windows
+whose least hash occurs once are unique. All others are told apart by a digest of their exact bytes, white space included, and each that
+occurs at a smaller (id, place) is repeated. A window is compared with all occurrences, so copies that differ from the first in part
+are found as well, and no length in bytes limits a word, a window or a passage.
+Repeated windows that touch or overlap in a document are one run; those of at least `min_words` words in all go.
+
+Every removed byte equals one at a smaller (id, place), so of all that is equal the first stays; of a text that repeats itself at
+once, its first period.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import discard, map_arrow, materialise
 from tessera.llm.minhash import M1, mix
 
-#: Bytes on either side of a run that are carried for its extension; more than the longest chunk of ordinary text.
-CONTEXT = 512
 #: Rows of a batch whose rows may hold whole texts twice.
 LONG_ROWS = 64
-#: Bits of a chunk's length and start in bytes within the number that gives its place; longer chunks (of enormous words) are left out.
-LENGTH, START = 12, 30
-
 
-SPACE_BYTES = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+SPACES = b" \t\n\v\f\r"
+SPACE_BYTES = np.isin(np.arange(256), list(SPACES))
 #: A random number for each byte, an odd base and its inverse, for polynomial hashes modulo 2**64.
 VALUES = mix(np.arange(1, 257, dtype=np.uint64) * M1)
 BASE = 0x2545F4914F6CDD1D
@@ -75,11 +72,8 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def chunks_of(text: bytes, size: int, window: int) -> list[tuple[int, int, int]]:
-    """(start, end, hash) of the chunks, in bytes: size words each, from every place whose rolling hash is the least of a window of places.
-
-    Whatever holds size + window - 1 words in a row has a chunk of them alone. Where a text repeats itself, of equal neighbours one in a window stays.
-    """
+def places(text: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, in bytes, and the rolling hash of the size words from each place; no hash where there are fewer words."""
     raw = np.frombuffer(text, np.uint8)
     solid = np.zeros(len(raw) + 2, bool)
     solid[1:-1] = ~SPACE_BYTES[raw]
@@ -87,149 +81,105 @@ def chunks_of(text: bytes, size: int, window: int) -> list[tuple[int, int, int]]
     starts, stops = turns[::2], turns[1::2]
     n = len(starts) - size + 1
     if n < 1:
-        return []
+        return starts, stops, np.empty(0, np.uint64)
     w = word_hashes(raw, starts, stops)
     rolled = np.zeros(n, np.uint64)
     factor = 1
     for k in range(size):
         rolled += w[k : k + n] * np.uint64(factor)
         factor = factor * BASE & 0xFFFFFFFFFFFFFFFF
-    rolled = mix(rolled)
-    wide = min(window, n)
+    return starts, stops, mix(rolled)
+
+
+def least_of(rolled: np.ndarray, window: int) -> np.ndarray:
+    """The places whose rolling hash is the least of a window of places."""
+    wide = min(window, len(rolled))
     least = sliding(rolled, wide, np.minimum)
     # a place is chosen if it is the least of some window, that is, of the windows with it, the one with the largest least
     padded = np.concatenate([np.zeros(wide - 1, np.uint64), least, np.zeros(wide - 1, np.uint64)])
-    chosen = np.flatnonzero(sliding(padded, wide, np.maximum) == rolled)
+    return np.flatnonzero(sliding(padded, wide, np.maximum) == rolled)
+
+
+def chunks_of(text: bytes, size: int, window: int) -> list[tuple[int, int, int]]:
+    """(start, end, hash) of the chunks, in bytes: size words each, from every place whose rolling hash is the least of a window of places.
+
+    Whatever holds size + window - 1 words in a row has a chunk of them alone. Where a text repeats itself, of equal neighbours one in a window stays.
+    """
+    starts, stops, rolled = places(text, size)
+    if not len(rolled):
+        return []
+    chosen = least_of(rolled, window)
     same = np.zeros(len(chosen), bool)
     same[1:] = (rolled[chosen[1:]] == rolled[chosen[:-1]]) & (chosen[1:] // window == chosen[:-1] // window)
     chosen = chosen[~same]
     return list(zip(starts[chosen].tolist(), stops[chosen + size - 1].tolist(), rolled[chosen].view(np.int64).tolist(), strict=True))
 
 
-def common_suffix(a: bytes, b: bytes) -> int:
-    low, high = 0, min(len(a), len(b))
-    while low < high:
-        mid = (low + high + 1) // 2
-        if a[len(a) - mid :] == b[len(b) - mid :]:
-            low = mid
-        else:
-            high = mid - 1
-    return low
+def hashes_of(text: bytes, size: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least hashes of the text's windows, and at how many places each is the least."""
+    rolled = places(text, size)[2]
+    if len(rolled) < window:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.unique(rolled[least_of(rolled, window)].view(np.int64), return_counts=True)
 
 
-def common_prefix(a: bytes, b: bytes) -> int:
-    low, high = 0, min(len(a), len(b))
-    while low < high:
-        mid = (low + high + 1) // 2
-        if a[:mid] == b[:mid]:
-            low = mid
-        else:
-            high = mid - 1
-    return low
+def windows_of(text: bytes, wanted: np.ndarray, size: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, digests) of the windows of size + window - 1 words whose least rolling hash is wanted; digests, of 128 bits, of their bytes."""
+    starts, stops, rolled = places(text, size)
+    if len(rolled) < window:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2), np.int64)
+    at = np.flatnonzero(np.isin(sliding(rolled, window, np.minimum), wanted))
+    s, e = starts[at], stops[at + size + window - 2]
+    view = memoryview(text)
+    digests = b"".join(blake2b(view[a:b], digest_size=16).digest() for a, b in zip(s.tolist(), e.tolist(), strict=True))
+    return s, e, np.frombuffer(digests, np.int64).reshape(-1, 2)
 
 
-SPACES = b" \t\n\v\f\r"
-SPACE = frozenset(SPACES)
-
-
-def extend(left: bytes, right: bytes, other_left: bytes, other_right: bytes, at_start: bool, at_end: bool) -> tuple[int, int]:
-    """Bytes by which a run may grow to the left and right over whole words that both sides share."""
-    a = common_suffix(left, other_left)
-    full = a == len(left) and at_start or a == len(other_left) and a < len(left) and left[-1 - a] in SPACE
-    if not full:
-        while a and left[-a] not in SPACE:
-            a -= 1
-    b = common_prefix(right, other_right)
-    full = b == len(right) and at_end or b == len(other_right) and b < len(right) and right[b] in SPACE
-    if not full:
-        while b and right[b - 1] not in SPACE:
-            b -= 1
-    return a, b
-
-
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 16, window: int = 34) -> DataFrame:
-    """(id, start, end, print) of every repeated run, in bytes of the UTF-8 text; print is a hash of these bytes. Runs may overlap."""
-    chosen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("text"))
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 16) -> DataFrame:
+    """(d, t, s, e) of every window of width words that stands at a smaller (id, place) too, in bytes of the UTF-8 text; t is a hash of the text."""
+    size = (width + 1) // 2
+    window = width - size + 1
+    text = F.col(text_col).cast("string")
+    chosen = docs.where(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
 
     def cut_up(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, places, hashes = [], [], []
-        for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = [(q, s, e, h) for q, (s, e, h) in enumerate(chunks_of((text or "").encode("utf-8", "surrogatepass"), size, window)) if e - s < 1 << LENGTH]
-            ids += [d] * len(found)
-            places += [q << START + LENGTH | s << LENGTH | e - s for q, s, e, _ in found]
-            hashes += [h for *_, h in found]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(hashes, pa.int64())], ["d", "at", "h"])
-
-    chunks = materialise(map_arrow(chosen, cut_up, "d long, at long, h long"), "chunks")
+        found = [hashes_of(text.encode("utf-8", "surrogatepass"), size, window) for text in batch.column(1).to_pylist()]
+        owner = pa.array(np.repeat(np.arange(len(found)), [len(h) for h, _ in found]))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(owner), *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], ["d", "h", "n"])
+
+    chunks = materialise(map_arrow(chosen.select("d", "text"), cut_up, "d long, h long, n long"), "chunks")
     # sums by hash are written before they are joined, so that the joins are shuffles of their own, whose hot hashes Spark splits
-    repeated = materialise(chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated")
-    twice = materialise(chunks.join(repeated, "h"), "twice")
+    repeated = materialise(chunks.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "repeated")
+    wanted = materialise(chunks.drop("n").join(repeated, "h"), "wanted")
     discard(chunks, repeated)
-    firsts = materialise(twice.groupBy("h").agg(F.min(F.struct("d", "at")).alias("f")).select("h", F.col("f.d").alias("r"), F.col("f.at").alias("ra")), "firsts")
-    start, length = lambda c: F.shiftright(c, LENGTH).bitwiseAND(F.lit((1 << START) - 1)).cast("int"), lambda c: F.col(c).bitwiseAND(F.lit((1 << LENGTH) - 1)).cast("int")
-    matched = twice.join(firsts, "h").where("d <> r or at <> ra").select("d", F.shiftright("at", START + LENGTH).alias("q"), start("at").alias("s"), (start("at") + length("at")).alias("e"), "r", start("ra").alias("rs"), (start("ra") + length("ra")).alias("re")).where("e - s = re - rs").distinct()
-    run = Window.partitionBy("d", "r", F.col("s") - F.col("rs")).orderBy("q")
-    runs = matched.withColumn("g", F.col("q") - F.row_number().over(run)).groupBy("d", "r", (F.col("s") - F.col("rs")).alias("shift"), "g").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min("rs").alias("rs"), F.max("re").alias("re")).select("d", "s", "e", "r", "rs", "re")
-    runs = materialise(runs, "runs")
-    discard(twice, firsts)
-
-    # one pass over the texts cuts out every run and every first occurrence, with their surroundings
-    asked = runs.select(F.col("d").alias("id"), F.struct(F.lit(True).alias("own"), "s", "e", "r", "rs", "re").alias("x")).unionByName(runs.select(F.col("r").alias("id"), F.struct(F.lit(False).alias("own"), F.col("rs").alias("s"), F.col("re").alias("e"), "r", "rs", "re").alias("x")).distinct())
-    by_doc = asked.groupBy("id").agg(F.collect_list("x").alias("asked"))  # no more than the document's own chunks and their runs
-
-    def excerpts(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for d, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            t = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            for x in wanted:
-                s, e = x["s"], x["e"]
-                if e <= len(t):
-                    rows.append((x["own"], x["r"], x["rs"], x["re"], d, s, e, t[max(0, s - CONTEXT) : s], t[s:e], t[e : e + CONTEXT], s <= CONTEXT, e + CONTEXT >= len(t)))
-        kinds = (pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 12, kinds, strict=True)], ["own", "r", "rs", "re", "d", "s", "e", "left", "body", "right", "at_start", "at_end"])
-
-    cuts = materialise(map_arrow(chosen.join(by_doc.withColumnRenamed("id", "d"), "d").select("d", "text", "asked"), excerpts, "own boolean, r long, rs int, re int, d long, s int, e int, left binary, body binary, right binary, at_start boolean, at_end boolean"), "cuts", LONG_ROWS)
-    discard(runs)
-    own = cuts.where("own").drop("own")
-    rep = cuts.where("not own").select("r", "rs", "re", F.col("left").alias("rl"), F.col("body").alias("rb"), F.col("right").alias("rr"))
-
-    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for x in batch.to_pylist():
-            if x["body"] != x["rb"]:  # an edit of equal length within the run: its ends are taken each
-                head, tail = common_prefix(x["body"], x["rb"]), common_suffix(x["body"], x["rb"])
-                n = len(x["body"])
-                for s, e, left, right, ol, orr, first, last in (
-                    (0, head, x["left"], x["body"][head:], x["rl"], x["rb"][head:], x["at_start"], False),
-                    (n - tail, n, x["body"][: n - tail], x["right"], x["rb"][: len(x["rb"]) - tail], x["rr"], False, x["at_end"]),
-                ):
-                    a, b = extend(left, right, ol, orr, first, last)
-                    cut = x["body"][s:e].rfind(b" ") if e < n else -1
-                    if e < n:
-                        e = s + max(0, cut)
-                    elif (cut := x["body"][s:e].find(b" ")) >= 0 and s:
-                        s += cut
-                    whole = (left[len(left) - a :] if s == 0 else b"") + x["body"][s:e] + (right[:b] if e == n else b"")
-                    if whole.strip(SPACES):
-                        out.append((x["d"], x["s"] + s - (a if s == 0 else 0), x["s"] + e + (b if e == n else 0), xxhash.xxh3_64_intdigest(whole) - (1 << 63)))
-                continue
-            a, b = extend(x["left"], x["right"], x["rl"], x["rr"], x["at_start"], x["at_end"])
-            whole = x["left"][len(x["left"]) - a :] + x["body"] + x["right"][:b]
-            out.append((x["d"], x["s"] - a, x["e"] + b, xxhash.xxh3_64_intdigest(whole) - (1 << 63)))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)], ["d", "s", "e", "print"])
-
-    found = materialise(map_arrow(own.join(rep, ["r", "rs", "re"]), compare, "d long, s int, e int, print long"), "repeated", LONG_ROWS)
-    discard(cuts)
+    by_doc = wanted.groupBy("d").agg(F.collect_set("h").alias("wanted"))  # no more than the document's own chunks
+
+    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        owners, parts = [], []
+        for k, (text, hashes) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            found = windows_of(text.as_py().encode("utf-8", "surrogatepass"), hashes.values.to_numpy().view(np.uint64), size, window)
+            owners.append(np.full(len(found[0]), k))
+            parts.append(found)
+        s, e, k = (np.concatenate(x) for x in zip(*parts, strict=True))
+        owner = pa.array(np.concatenate(owners))
+        columns = [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy())]
+        return pa.RecordBatch.from_arrays(columns, ["d", "t", "s", "e", "k", "l"])
+
+    windows = materialise(map_arrow(chosen.join(by_doc, "d").select("d", "t", "text", "wanted"), digest, "d long, t long, s int, e int, k long, l long"), "windows", LONG_ROWS)
+    discard(wanted)
+    firsts = windows.groupBy("k", "l").agg(F.min(F.struct("d", "s", "t")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = materialise(firsts.select("k", "l", F.col("f.d").alias("fd"), F.col("f.s").alias("fs"), F.col("f.t").alias("ft")), "firsts")
+    found = materialise(windows.join(firsts, ["k", "l"]).where("d <> fd or t <> ft or s <> fs").select("d", "t", "s", "e"), "found")
+    discard(windows, firsts)
     return found
 
 
-def remove(text: bytes, runs: list[dict], min_words: int) -> tuple[bytes, int]:
-    """The text without its runs of min_words words (where their bytes are what was found), and the bytes removed; white space at a gap becomes one separator."""
-    spans = sorted((x["s"], x["e"]) for x in runs if x["e"] <= len(text) and xxhash.xxh3_64_intdigest(text[x["s"] : x["e"]]) - (1 << 63) == x["print"])
+def remove(text: bytes, starts: np.ndarray, ends: np.ndarray, min_words: int) -> tuple[bytes, int]:
+    """The text without the runs of min_words words that these windows make, and the bytes removed; white space at a gap becomes one separator."""
+    order = np.argsort(starts)
     merged: list[list[int]] = []
-    for s, e in spans:
-        if merged and not text[merged[-1][1] : s].strip(SPACES):
+    for s, e in zip(starts[order].tolist(), ends[order].tolist(), strict=True):
+        if merged and (s <= merged[-1][1] or not text[merged[-1][1] : s].strip(SPACES)):
             merged[-1][1] = max(e, merged[-1][1])
         else:
             merged.append([s, e])
@@ -241,15 +191,17 @@ def remove(text: bytes, runs: list[dict], min_words: int) -> tuple[bytes, int]:
         parts.append(text[at:s])
         at = e
     parts.append(text[at:])
-    out = parts[0]
+    kept, tail = [parts[0]], parts[0]
     for part in parts[1:]:
-        x, y = out.rstrip(SPACES), part.lstrip(SPACES)
-        gap = out[len(x) :] + part[: len(part) - len(y)]
-        out = x + ((b"\n" if b"\n" in gap else b" ") if x and y else b"") + y
+        x, y = tail.rstrip(SPACES), part.lstrip(SPACES)
+        gap = tail[len(x) :] + part[: len(part) - len(y)]
+        kept[-1:] = [x, (b"\n" if b"\n" in gap else b" ") if x and y else b"", y]
+        tail = y
+    out = b"".join(kept)
     return out, len(text) - len(out)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, width: int = 16) -> DataFrame:
     """docs with repeated passages removed from text_col, and one more column, n_removed (UTF-8 bytes removed, long).
 
     A text that consists of repeated passages becomes empty; rows are never dropped. Null texts stay null. Rows that
@@ -257,20 +209,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pass through under their names, except that an n_removed of the input is replaced.
     """
     docs = docs.drop("n_removed")
-    runs = repeated_runs(docs, id_col, text_col, **options)
-    by_doc = runs.groupBy("d").agg(F.collect_list(F.struct("s", "e", "print")).alias("__runs"))
+    found = repeated_windows(docs, id_col, text_col, min(width, min_words))
+    by_doc = found.groupBy("d", "t").agg(F.collect_list("s").alias("__s"), F.collect_list("e").alias("__e"))
     names = docs.columns
-    joined = docs.join(by_doc.withColumnRenamed("d", "__d"), F.col(id_col).cast("long") == F.col("__d"), "left").drop("__d")
+    same = (F.col(id_col).cast("long") == F.col("__d")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__t"))
+    joined = docs.join(by_doc.withColumnsRenamed({"d": "__d", "t": "__t"}), same, "left").drop("__d", "__t")
     at = names.index(text_col)
 
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, removed = [], []
-        for text, found in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-            if text is None or not found:
+        for text, s, e in zip(batch.column(at).to_pylist(), batch.column(len(names)), batch.column(len(names) + 1), strict=True):
+            if text is None or not s.is_valid:
                 texts.append(text)
                 removed.append(0)
             else:
-                out, n = remove(text.encode("utf-8", "surrogatepass"), found, min_words)
+                out, n = remove(text.encode("utf-8", "surrogatepass"), s.values.to_numpy(), e.values.to_numpy(), min_words)
                 texts.append(out.decode("utf-8", "replace"))
                 removed.append(n)
         columns = batch.columns[: len(names)]

@@ -180,6 +180,22 @@ def test_boundaries_resist_shifts():
     assert len(a & b) > 0.8 * len(a)
 
 
+def test_copies_that_differ_from_the_first_in_part_go(spark):
+    r = random.Random(5)
+    w = lambda n: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    docs, want = [], {}
+    for k in range(0, 120, 4):
+        passage = w(60)
+        docs += [(k, " ".join(w(30) + passage[:40] + w(30))), (k + 1, " ".join(w(20) + passage + w(20)))]
+        head, tail = w(25), w(15)
+        docs += [(k + 2, " ".join(head + passage + tail))]
+        want[k + 2] = " ".join(head + tail)
+    spaced = w(60)
+    docs += [(200, "\n".join(spaced)), (201, " ".join(spaced)), (202, " ".join(spaced))]  # other white space than the first
+    out = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    assert {i: out[i] for i in want} == want and out[202] == "" and all(out[i] == t for i, t in docs if i not in want and i != 202)
+
+
 # op5
 
 
