@@ -196,6 +196,15 @@ def test_copies_that_differ_from_the_first_in_part_go(spark):
     assert {i: out[i] for i in want} == want and out[202] == "" and all(out[i] == t for i, t in docs if i not in want and i != 202)
 
 
+def test_passages_of_enormous_words_go(spark):
+    r = random.Random(6)
+    w = lambda n: " ".join("".join(r.choice("一二三四五六七八九十") for _ in range(100)) for _ in range(n))
+    passage = w(60)  # 16 words are 4,815 bytes
+    docs = [(1, w(5) + " " + passage), (2, passage + " tail")]
+    out = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    assert out == {1: docs[0][1], 2: "tail"}
+
+
 # op5
 
 
