@@ -205,6 +205,15 @@ def test_passages_of_enormous_words_go(spark):
     assert out == {1: docs[0][1], 2: "tail"}
 
 
+def test_passages_with_one_chunk_at_an_end_go(spark):
+    r = random.Random(7)
+    w = lambda n: " ".join("".join(r.choice("აბგდევზთ") for _ in range(12)) for _ in range(n))
+    passages = [w(50) for _ in range(40)]  # 34 words are 1,257 bytes
+    docs = [(i, f"{w(20)} {passages[i % 40]} {w(20)}") for i in range(80)]
+    out = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    assert all(out[i] == t if i < 40 else out[i] == t.replace(passages[i % 40] + " ", "") for i, t in docs)
+
+
 # op5
 
 
