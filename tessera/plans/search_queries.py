@@ -93,7 +93,7 @@ def vector_queries(spark, d):
 
 def vector_topk(metric: str, mode: str = "raw", k: int = 10):
     def query(spark, d):
-        hits = S.ranked(S.scores(vectors(spark, d), vector_queries(spark, d), metric, mode).withColumn("score", F.round("score", 6)), k)
+        hits = S.top_k(vectors(spark, d), vector_queries(spark, d), k, metric, mode, digits=6)
         return hits.select("query_id", "chunk_id", "score", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
     return query
@@ -119,7 +119,7 @@ def vector_sql(metric: str, mode: str = "raw", k: int = 10, where: str = "true")
 def prefilter_topk(spark, d):
     table = vectors(spark, d)
     pred = compile_filter(parse('{"label": {"$in": [1, 3, 5]}}'), table.schema)
-    hits = S.ranked(S.scores(table.where(pred), vector_queries(spark, d)).withColumn("score", F.round("score", 6)), 10)
+    hits = S.top_k(table, vector_queries(spark, d), 10, predicate=pred, digits=6)
     return hits.select("query_id", "chunk_id", "score", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 

@@ -34,6 +34,21 @@ def test_flat_search_and_filters(spark):
     assert search.at_least(search.top_k(v, q, 3), 0.5).count() == 2
 
 
+
+def test_more_queries_than_a_block(spark, monkeypatch):
+    from tessera.plans import search_queries as Q
+
+    points = [(i, [math.cos(i), math.sin(i)]) for i in range(12)]
+    v = spark.createDataFrame(points, "chunk_id long, embedding array<double>")
+    q = spark.createDataFrame(points, "query_id long, q array<double>")
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(Q, "vectors", lambda spark, d: v.withColumn("label", F.lit(1)))
+    monkeypatch.setattr(Q, "vector_queries", lambda spark, d: q)
+    want = [(i, i) for i in range(12)]
+    for hits in (Q.vector_topk("cosine", k=1)(spark, ""), Q.prefilter_topk(spark, "").where("rank = 1"), search.ranked(search.scores(v, q), 1)):
+        assert rows(hits.select("query_id", "chunk_id"), "query_id") == want
+
+
 def test_stems():
     for word, want in {"running": "run", "connections": "connect", "relational": "relat", "ponies": "poni", "caresses": "caress", "hopping": "hop", "agreed": "agre", "sky": "sky", "happy": "happi", "at": "at"}.items():
         assert X.stem(word) == want
