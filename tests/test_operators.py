@@ -49,6 +49,14 @@ def test_more_queries_than_a_block(spark, monkeypatch):
         assert rows(hits.select("query_id", "chunk_id"), "query_id") == want
 
 
+def test_more_graph_queries_than_a_block(spark, monkeypatch):
+    points = [(i, [math.cos(i), math.sin(i)]) for i in range(12)]
+    v = spark.createDataFrame(points, "chunk_id long, embedding array<double>")
+    q = spark.createDataFrame(points, "query_id long, q array<double>")
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    assert rows(search.graph_search(v, q, 1).select("query_id", "chunk_id"), "query_id") == [(i, i) for i in range(12)]
+
+
 def test_stems():
     for word, want in {"running": "run", "connections": "connect", "relational": "relat", "ponies": "poni", "caresses": "caress", "hopping": "hop", "agreed": "agre", "sky": "sky", "happy": "happi", "at": "at"}.items():
         assert X.stem(word) == want
