@@ -1,7 +1,7 @@
 """Benchmark decontamination on canonical templates.
 
 Text becomes a template: numbers, names and units turn into typed placeholders, other words lose case and surrounding
-punctuation. Windows of five template words of the benchmark items are indexed by hash; each document's windows are
+punctuation. A capitalised word that begins a sentence may be a name or not, so there is a template for each. Windows of five template words of the benchmark items are indexed by hash; each document's windows are
 looked up there. An item leaks into a document if at least `share` of its distinct windows lie near one diagonal, that
 is, in the item's order and about its length, and its slots are filled consistently: equal values of the item map to equal
 values of the document and different ones to different ones. So a re-parameterised question counts, with the number
@@ -68,13 +68,13 @@ class Codes(dict):
         return code
 
 
-def template(text: str | None, codes: Codes) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """(typed ids, plain ids, raw words, index of each id's raw word). Typed: capitalised words inside a sentence are names, units after a number
-    units; plain: both are words, for copies whose capitals changed."""
+def template(text: str | None, codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """(typed ids, plain ids, open ids, raw words, index of each id's raw word). Typed: capitalised words inside a sentence are names, units after a
+    number units; plain: both are words, for copies whose capitals changed; open: as typed, with capitalised words that begin a sentence names too."""
     raw = (text or "").encode("utf-8", "surrogatepass").replace(MARK, b" ").replace(b"\n", b" " + MARK + b" ").split()
     n = len(raw)
     if not n:
-        return np.empty(0, np.int64), np.empty(0, np.int64), raw, np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), raw, np.empty(0, np.int64)
     c = np.fromiter(map(codes.__getitem__, raw), np.int64, n)
     after_end = np.empty(n, bool)
     after_end[0] = True
@@ -88,7 +88,7 @@ def template(text: str | None, codes: Codes) -> tuple[np.ndarray, np.ndarray, li
         unit = np.zeros(len(ids), bool)
         unit[1:] = (c[1:] & UNITLIKE != 0) & (ids[:-1] == NUM)
         ids[unit] = UNIT
-    return ids, plain, raw, at
+    return ids, plain, np.where((c & TITLE != 0) & (ids != UNIT), NAME, ids), raw, at
 
 
 def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
@@ -100,17 +100,20 @@ def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
 
 
 class Index:
-    """Template windows of a block of benchmark items, typed and plain."""
+    """Template windows of a block of benchmark items, typed, plain and open."""
 
     def __init__(self, items: list[tuple[int, str]], width: int):
         self.width, self.ids = width, {}
-        codes, postings = Codes(self.ids, grow=True), (defaultdict(list), defaultdict(list))
-        self.items: tuple[dict, dict] = ({}, {})
+        codes, postings = Codes(self.ids, grow=True), (defaultdict(list), defaultdict(list), defaultdict(list))
+        self.items: tuple[dict, dict, dict] = ({}, {}, {})
         for item, text in items:
             *kinds, raw, at = template(text, codes)
             for kind, ids in enumerate(kinds):
                 if not len(ids):
                     continue
+                # names at sentence beginnings: only where there are any, and where at least half of the item and a window's worth of words stay words
+                if kind == 2 and (np.array_equal(ids, kinds[0]) or (ids >= FIRST).sum() < max(width, len(ids) / 2)):
+                    continue
                 size, places = min(width, len(ids)), {}
                 for i, h in enumerate(window_hashes(ids, size).tolist()):
                     places.setdefault(h, i)
@@ -122,8 +125,8 @@ class Index:
 
     def search(self, text: str | None, codes: Codes, share: float) -> list[tuple]:
         """(item, share found, first word, last word + 1, changed slots) of every item that leaks into the text; words of its template."""
-        typed, plain, raw, at = template(text, codes)
-        return sorted({x[0]: x for kind, ids in ((1, plain), (0, typed)) for x in self.leaks(kind, ids, raw, at, share)}.values())
+        typed, plain, opened, raw, at = template(text, codes)
+        return sorted({x[0]: x for kind, ids in ((2, opened), (1, plain), (0, typed)) for x in self.leaks(kind, ids, raw, at, share)}.values())
 
     def leaks(self, kind: int, ids: np.ndarray, raw: list[bytes], at: np.ndarray, share: float) -> list[tuple]:
         met = defaultdict(list)

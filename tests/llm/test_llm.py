@@ -398,6 +398,15 @@ def test_reparameterised_questions_leak(spark):
     assert decontamination.find_leaks(odd(spark), bench).count() == len(ODD) + 2
 
 
+def test_names_at_sentence_beginnings(spark):
+    item = "Alice has 12 apples and buys some more. Bob gives 3 of the apples to a friend. How many apples are left?"
+    other = item.replace("Alice", "Carol").replace("Bob", "Dave").replace("12", "9")
+    docs = spark.createDataFrame([(1, f"Before it. {other} After it."), (2, other.replace("Dave", "Carol")), (3, "Some Other Words Here.")], DOCS)
+    bench = spark.createDataFrame([(1, item), (2, "New York Times")], "item_id long, text string")
+    got = {r["doc_id"]: [(x["item_id"], x["changed_slots"]) for x in r["leaks"]] for r in decontamination.find_leaks(docs, bench).collect()}
+    assert got == {1: [(1, 3)], 2: [], 3: []}
+
+
 def test_leaks_against_brute_force(spark, sf_dir):
     import re
 
