@@ -20,11 +20,13 @@ RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir); where that is unset, a temporary one in local mode, as in tests, and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("tessera.work.dir", None)
         if not folder:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="tessera-work-")
             spark.conf.set("tessera.work.dir", folder)
     return folder.rstrip("/")
@@ -46,17 +48,21 @@ def materialise(df: DataFrame, name: str, batch_rows: int | None = None) -> Data
     return out
 
 
+def delete(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.materialised_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that nothing will read again, and let Spark drop the shuffle files of finished queries.
 
     Spark frees shuffle files when the driver collects the objects that stand for them, which may be long after; asking for a
     collection keeps the disk that a chain of large shuffles needs to about one of them.
     """
-    for t in tables:
-        spark = t.sparkSession
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(t.materialised_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(*tables)
     if tables:
         for _ in range(2):  # what the first collection frees may hold more
             gc.collect()

@@ -20,10 +20,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import HashCache, ascii_lower_words, discard, map_arrow, materialise
+from tessera.llm.common import HashCache, ascii_lower_words, delete, discard, map_arrow, materialise
 from tessera.llm.components import components
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -95,47 +96,48 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme | None = None) -> DataFrame:
-    """A row a document: id, n_shingles, component_id (smallest id reachable over links, its own included), kept (it is that one).
+def text_key(text_col: str) -> Column:
+    """Tells the texts of rows apart: the md5 of the text in 16 bytes, null for null."""
+    return F.unhex(F.md5(F.col(text_col).cast("string").cast("binary")))
 
-    Links: shingle sets (lower-cased A-Z, words [^\\x20\\x09-\\x0D]+, whole texts) with 100 * intersection >= percent * union.
-    Documents without words (null and empty texts too) have an empty set and no links. Repeated ids give a row each and
-    share their sets' components. A row without id links others' nothing: its component_id is null and it is kept.
-    An empty table gives no rows; other columns are ignored.
+
+def linked_sets(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme | None = None) -> DataFrame:
+    """A row a document: id (long), t (its text_key), n_shingles, component (a number for the sets reachable from its own over links; null without words).
+
+    Every distinct set has a number of its own, whatever ids its documents have, so rows that share an id are judged each by its own text.
     """
     scheme = scheme or Scheme(percent / 100)
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("t"), F.col(text_col).cast("string").alias("text"))
 
     def sketch(batch: pa.RecordBatch, hashes: HashCache) -> pa.RecordBatch:
         sizes, prints, signatures = [], [], []
-        for text in batch.column(1).to_pylist():
+        for text in batch.column(2).to_pylist():
             h = shingles(text, width, hashes)
             sizes.append(len(h))
-            if len(h):
-                import xxhash
+            prints.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
+            signatures.append(scheme.signature(h).tobytes() if len(h) else None)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(signatures, pa.binary())], ["id", "t", "n_shingles", "print", "signature"])
 
-                prints.append(xxhash.xxh3_128_digest(h.tobytes()))
-                signatures.append(scheme.signature(h).tobytes())
-            else:
-                prints.append(None)
-                signatures.append(None)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(signatures, pa.binary())], ["id", "n_shingles", "print", "signature"])
-
-    sets = materialise(map_arrow(chosen, sketch, "id long, n_shingles long, print binary, signature binary", HashCache), "sets")
-    reps = materialise(sets.where("id is not null and print is not null").groupBy("print").agg(F.min("id").alias("rep"), F.first("signature").alias("signature")), "reps")
+    sets = materialise(map_arrow(chosen, sketch, "id long, t binary, n_shingles long, print binary, signature binary", HashCache), "sets")
+    # a set's number is fixed once the table is written; its text is that of the smallest (id, t)
+    distinct = sets.where("print is not null").groupBy("print").agg(F.min(F.struct("id", "t")).alias("at"), F.first("signature").alias("signature"))
+    reps = materialise(distinct.select("print", F.monotonically_increasing_id().alias("rep"), "at.id", "at.t", "signature"), "reps")
 
     def keys_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         signatures = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
         keys = scheme.bucket_keys(signatures).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys.shape[1]))], ["key", "rep"])
 
-    # several prints may share a rep when an id is repeated with other texts: those documents are one
     all_keys = map_arrow(reps.select("rep", "signature"), keys_of, "key long, rep long")
     shared = all_keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
     buckets = materialise(all_keys.join(shared, "key"), "buckets")
 
-    candidates = buckets.select("rep").distinct()
-    texts = materialise(chosen.where("id is not null").join(candidates.withColumnRenamed("rep", "id"), "id", "left_semi"), "texts")
+    wanted = reps.select("rep", "id", "t").join(buckets.select("rep").distinct(), "rep").alias("w")
+    held = chosen.alias("c").join(wanted, F.col("c.id").eqNullSafe(F.col("w.id")) & (F.col("c.t") == F.col("w.t")))
+    texts = materialise(held.select("w.rep", "c.text"), "texts")
+    if texts.groupBy("rep").count().where("count > 1").limit(1).count():  # rows that agree in id and text
+        twice, texts = texts, materialise(texts.groupBy("rep").agg(F.first("text").alias("text")), "texts")
+        delete(twice)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         def run(batch: pa.RecordBatch, state: list) -> pa.RecordBatch:
@@ -148,14 +150,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
                 yes.append(similar(state[2], shingles(texts_b[k].as_py(), width, state[0]), percent))
             return pa.RecordBatch.from_arrays([ids_a, ids_b], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
-        met = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        met = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
         return materialise(map_arrow(met.select("a", "b", "text_a", "text_b"), run, "a long, b long", lambda: [HashCache(), None, None]), "links")
 
-    # ids that are repeated with different texts link those texts' sets
-    twins = sets.where("id is not null and print is not null").select("print", "id").join(reps.select("print", "rep"), "print").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
     first = confirm(buckets.groupBy("rep").agg(F.min("low").alias("low")).where("low < rep").select(F.col("low").alias("a"), F.col("rep").alias("b")))
-    links = first.unionByName(twins)
-    labels = components(links)
+    labels = components(first)
 
     # where a bucket's members are still of several components, those outside its smallest one's meet the others
     named = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
@@ -170,7 +169,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(component), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets_of).view(np.int32))], ["rep", "component", "n", "shingle"])
 
     # of two sets that similar, ordered by one rule, the first n - ceil(percent / 100 * n) + 1 shingles of each have one in common
-    exploded = materialise(map_arrow(texts.join(rest.withColumnRenamed("rep", "id"), "id"), rows_of, "rep long, component long, n long, shingle int", HashCache), "shingles")
+    exploded = materialise(map_arrow(texts.join(rest, "rep"), rows_of, "rep long, component long, n long, shingle int", HashCache), "shingles")
     common = exploded.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     ranked = exploded.join(common, "shingle").withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle")))
     loose = percent - 1  # sizes of 32-bit sets may be a little too small
@@ -186,7 +185,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     if second.limit(1).count():
         labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
 
-    by_print = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
-    has = sets.where("id is not null and print is not null").join(by_print, "print").select("id", "n_shingles", "component_id")
-    bare = sets.where("id is null or print is null").select("id", "n_shingles", F.col("id").alias("component_id"))
-    return has.unionByName(bare).select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id").isNull() | (F.col("id") == F.col("component_id"))).alias("kept"))
+    by_print = reps.select("print", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
+    return sets.select("id", "t", "n_shingles", "print").join(by_print, "print", "left").select("id", "t", "n_shingles", "component")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme | None = None) -> DataFrame:
+    """A row a document: id, n_shingles, component_id (smallest id reachable over links, its own included), kept (it is that one).
+
+    Links: shingle sets (lower-cased A-Z, words [^\\x20\\x09-\\x0D]+, whole texts) with 100 * intersection >= percent * union.
+    Documents without words (null and empty texts too) have an empty set and no links. Rows that share an id are linked by
+    their own texts alone and may so differ in component_id. A row without id links as any other; its component_id is null and it is
+    kept only if no id is reachable from it. An empty table gives no rows; other columns are ignored.
+    """
+    found = materialise(linked_sets(docs, width, percent, id_col, text_col, scheme), "linked")
+    least = found.where("component is not null").groupBy("component").agg(F.min("id").alias("low"))
+    named = found.join(least, "component", "left").select("id", "n_shingles", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("low")).alias("component_id"))
+    return named.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def representatives(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near duplicates: that with the smallest (id, text_key), ids before nulls; every row without words.
+
+    Rows are judged by their own texts, also where they share an id. Of rows that agree in id and text one stays, with the other columns of any of them.
+    """
+    found = materialise(linked_sets(docs, width, percent, id_col, text_col).where("component is not null").select("id", "t", "component"), "linked")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("best"))
+    gone = found.join(best, "component").where("not (id <=> best.id and t = best.t)").select("id", "t").distinct().alias("g")
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__t": text_key(text_col)})
+    match = lambda right: F.col("__id").eqNullSafe(F.col(f"{right}.id")) & (F.col("__t") == F.col(f"{right}.t"))
+    kept = keyed.join(gone, match("g"), "left_anti")
+    twice = found.groupBy("id", "t").count().where("count > 1").select("id", "t")
+    if not twice.limit(1).count():
+        return kept.select(*docs.columns)
+    twice = materialise(twice, "twice").alias("w")
+    one = kept.join(twice, match("w"), "left_semi").groupBy("__id", "__t").agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return kept.join(twice, match("w"), "left_anti").select(*docs.columns).unionByName(one)

@@ -320,6 +320,36 @@ def test_near_duplicates_against_brute_force(spark, width, percent):
     assert got == brute(docs, width, percent)
 
 
+def test_rows_that_share_an_id_are_judged_by_their_own_texts(spark):
+    r = random.Random(9)
+    rows = []
+    for _ in range(25):
+        base = [f"w{r.randrange(400)}" for _ in range(r.randint(20, 60))]
+        for _ in range(r.randint(1, 5)):
+            copy = list(base)
+            for _ in range(r.randint(0, 3)):
+                copy[r.randrange(len(copy))] = f"w{r.randrange(400)}"
+            rows.append((r.choice([None, *range(30)]), " ".join(copy)))
+    rows += [(3, rows[0][1]), (3, rows[0][1]), rows[5], (None, rows[9][1]), (4, ""), (4, None), (4, "")]
+    alone = brute(list(enumerate(t for _, t in rows)), 5, 80)  # each row as a document
+    low = {}
+    for k, (i, t) in enumerate(rows):
+        if i is not None and alone[k][0]:
+            low[alone[k][1]] = min(i, low.get(alone[k][1], i))
+    want = Counter()
+    for k, (i, t) in enumerate(rows):
+        n, group, _ = alone[k]
+        c = low.get(group) if n else i
+        want[i, n, c, c == i] += 1
+    docs = spark.createDataFrame(rows, DOCS)
+    assert Counter(map(tuple, minhash.near_duplicates(docs, 5, 80).collect())) == want
+    kept = minhash.representatives(docs.withColumn("id", F.lit("clash")), 5, 80).collect()
+    # one row of each group, that with the smallest id, and every row without words
+    where = {t: alone[k][1] for k, (_, t) in enumerate(rows)}
+    assert Counter(where[x["text"]] for x in kept if alone[where[x["text"]]][0]) == Counter({g: 1 for g in {alone[k][1] for k in range(len(rows)) if alone[k][0]}})
+    assert all(x["doc_id"] == low.get(where[x["text"]]) for x in kept if alone[where[x["text"]]][0]) and sum(not (x["text"] or "").strip() for x in kept) == 3
+
+
 def test_near_duplicates_odd_rows(spark):
     out = minhash.near_duplicates(odd(spark)).collect()
     assert len(out) == len(ODD) + 2
