@@ -31,18 +31,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8), the one with the smallest id; of rows that share its id, the first text."""
-    from tessera.llm.minhash import near_duplicates
-
-    marked = materialise(near_duplicates(docs, width=5, percent=80), "near")
-    gone = marked.where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    twice = marked.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if not twice.limit(1).count():
-        return kept
-    # rows that share an id are one document; only those are gathered by id
-    repeated = kept.join(twice.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
-    return kept.join(twice.select("doc_id"), "doc_id", "left_anti").unionByName(repeated)
+    """One document of each group of near duplicates (five words, 0.8), the one with the smallest id. Rows that share an id are judged each by its own text."""
+    from tessera.llm.minhash import representatives
+
+    return representatives(docs.select(*COLUMNS), width=5, percent=80)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
