@@ -123,13 +123,15 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
-OP6_SQL = f"""
-WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, substr(bin(('0x' || substr(md5(doc_id::VARCHAR), 1, 5))::BIGINT + 1048576), 2) AS prefix FROM documents),
-levels AS (SELECT prefix, n_bytes, substr(prefix, 1, level) AS shard FROM d, (SELECT unnest(range(0, 21)) AS level)),
-totals AS (SELECT shard, sum(n_bytes)::BIGINT AS shard_bytes FROM levels GROUP BY shard HAVING sum(n_bytes) <= {SHARD_BYTES}),
+def op6_sql(limit: int = SHARD_BYTES) -> str:
+    """Every prefix of up to 60 bits; a row's shard is its shortest prefix that fits. For unique ids."""
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, substr(bin(('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT + (1::BIGINT << 60)), 2) AS prefix FROM documents),
+levels AS (SELECT prefix, n_bytes, substr(prefix, 1, level) AS shard FROM d, (SELECT unnest(range(0, 61)) AS level)),
+totals AS (SELECT shard, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS n FROM levels GROUP BY shard HAVING sum(n_bytes) <= {limit} OR count(*) = 1),
 best AS (SELECT d.doc_id, d.n_bytes, t.shard, t.shard_bytes, row_number() OVER (PARTITION BY d.doc_id ORDER BY length(t.shard)) AS k
-  FROM d, (SELECT unnest(range(0, 21)) AS level) JOIN totals t ON t.shard = substr(d.prefix, 1, level))
-SELECT doc_id, n_bytes, shard, shard_bytes, false AS oversize FROM best WHERE k = 1
+  FROM d, (SELECT unnest(range(0, 61)) AS level) JOIN totals t ON t.shard = substr(d.prefix, 1, level))
+SELECT doc_id, n_bytes, shard, shard_bytes, shard_bytes > {limit} AS oversize FROM best WHERE k = 1
 """
 
 
@@ -144,4 +146,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op2_quality_rules": OP2_SQL, "op6_sharding": OP6_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op2_quality_rules": OP2_SQL, "op6_sharding": op6_sql()}

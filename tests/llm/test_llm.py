@@ -265,17 +265,52 @@ def test_sampling_follows_the_lattice():
 # op6
 
 
-def test_shards_fit(spark):
+def by_hand(rows, limit):
+    """Shards of (n_bytes, bits) rows by splitting bucket after bucket."""
+    out, todo = {}, [("", list(range(len(rows))))]
+    while todo:
+        prefix, members = todo.pop()
+        total = sum(rows[k][0] for k in members)
+        if total <= limit or len(members) == 1:
+            out |= dict.fromkeys(members, (prefix, total, total > limit))
+            continue
+        for bit in "01":
+            if half := [k for k in members if rows[k][1][len(prefix)] == bit]:
+                todo.append((prefix + bit, half))
+    return out
+
+
+def test_shards_against_splitting_by_hand(spark):
     r = random.Random(2)
-    docs = spark.createDataFrame([(i, "x" * r.randint(0, 400)) for i in range(500)] + [(7, "y" * 50)] * 60 + [(9000, "z" * 5000), (None, None), (None, "n")], DOCS).withColumn("shard", F.lit("clash"))
-    for depth in (4, 20):
-        out = sharding.assign_shards(docs, 2000, depth=depth)
-        assert out.count() == docs.count()
-        sizes = out.groupBy("shard").agg(F.sum("n_bytes").alias("b"), F.max("shard_bytes").alias("s"), F.max("oversize").alias("o"), F.count("*").alias("n")).collect()
-        assert all(x["b"] <= 2000 or x["o"] and x["n"] == 1 for x in sizes) and all(x["b"] == x["s"] for x in sizes)
-        names = sorted(x["shard"] for x in sizes)
+    md5 = lambda x: "".join(f"{int(c, 16):04b}" for c in hashlib.md5(("" if x is None else str(x)).encode()).hexdigest())
+    docs = [(i, "x" * r.randint(0, 400)) for i in range(400)] + [(9000, "z" * 5000), (None, None), (None, "n")] + [(7, "y" * 50)] * 60 + [(8, "q" * r.randint(1, 90)) for _ in range(80)] + [(None, None)] * 30 + [(11, "é" * 2000)] * 3
+    df = spark.createDataFrame(docs, DOCS).withColumn("shard", F.lit("clash"))
+    seen, rows = Counter(), []
+    for i, t in docs:
+        rows.append((len((t or "").encode()), md5(i) + md5(t or "") + f"{seen[i, t or '']:064b}"))
+        seen[i, t or ""] += 1
+    for limit, partitionings in ((2000, (5,)), (300, (1, 7))):
+        want = Counter((docs[k][0], rows[k][0], *x) for k, x in by_hand(rows, limit).items())
+        for parts in partitionings:
+            assert Counter(map(tuple, sharding.assign_shards(df.repartition(parts), limit).collect())) == want
+        names = sorted({x[2] for x in want})
         assert not any(b.startswith(a) for a, b in zip(names, names[1:], strict=False))  # prefixes of one another never are
-    assert sharding.assign_shards(docs.where("false"), 10).count() == 0
+    assert sharding.assign_shards(df.where("false"), 10).count() == 0 and sharding.assign_shards(odd(spark), 1000).count() == len(ODD) + 2
+
+
+def test_shards_beyond_twenty_bits(spark, sf_dir):
+    out = sharding.assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), 1)  # a row, or rows without bytes, a shard
+    assert_same(out, sf_dir, queries.op6_sql(1))
+    deep = spark.createDataFrame([(i, "x") for i in range(40_000)], DOCS)
+    assert sharding.assign_shards(deep, 1).agg(F.max(F.length("shard"))).first()[0] > 24
+
+
+def test_written_shards(spark, tmp_path):
+    docs = spark.createDataFrame([(i % 20, "t%d" % (i % 30) * 10) for i in range(100)] + [(None, None)], DOCS)
+    sharding.write_shards(docs, str(tmp_path / "out"), 200)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter(map(tuple, back.select("doc_id", "text").collect())) == Counter(map(tuple, docs.collect()))
+    assert back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b")).where("b > 200").count() == 0
 
 
 # op7
