@@ -1,10 +1,11 @@
 """Chat formatting by event-sourced reconstruction.
 
-A conversation is a log of events. `fold` reduces the logs to final messages with aggregates and running windows: streamed
+A conversation is a log of events. `fold` reduces the logs to final messages with windows over them: streamed
 deltas are appended, edits replace a text, a regeneration takes back a message and all that followed it. `render` walks
 each conversation in order, row by row, and writes every message as one piece of the formatted text, with the span that
 the loss covers; `read_back` parses pieces alone, without the messages they came from. Conversations stream through both,
-so a single long one needs no memory beyond its longest message.
+so a single long one needs no memory beyond its longest message and the ids of its regenerated ones. `logs` turns finished
+turns into such logs, with drafts, fragments, edits and regenerations that the fold must undo.
 
 A template puts markers around texts by role. Markers (its control strings) inside texts are escaped: a backslash goes in
 after the first character of whatever looks like one, with or without backslashes there already. Control strings hold their
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded
@@ -81,31 +82,81 @@ INSTRUCT = Template(
 )
 
 
+def logs(turns: DataFrame) -> DataFrame:
+    """Event logs, as fold takes them, that end in turns (conv_id, turn, role, text): every row becomes a message, in order of turn, role and text.
+
+    By its number in the conversation, a row is sent whole without an id; streamed as a message and deltas; drafted and then edited; or
+    drafted, answered by a stray message, regenerated, which takes the stray one back, and streamed anew, before another stray one that is deleted.
+    """
+    rows = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    k = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    rows = rows.withColumn("k", k).withColumns({"id": F.concat(F.lit("m"), F.col("k").cast("string")), "third": F.floor(F.length("text") / 3).cast("int")})
+    one, two, rest = F.substring("text", F.lit(1), F.col("third")), F.substring("text", F.col("third") + 1, F.col("third")), F.substring("text", 2 * F.col("third") + 1, F.length("text"))
+    own, stray, other, draft = F.col("id"), F.concat("id", F.lit("stray")), F.concat("id", F.lit("gone")), F.lit("draft")
+
+    def log(*events: tuple) -> Column:
+        return F.array(*(F.struct(F.lit(event).alias("event"), mid.alias("message_id"), text.alias("text")) for event, mid, text in events))
+
+    none = F.lit(None).cast("string")
+    made = (
+        F.when(F.col("k") % 4 == 1, log(("message", own, one), ("delta", own, two), ("delta", own, rest)))
+        .when(F.col("k") % 4 == 2, log(("message", own, draft), ("delta", own, draft), ("edit", own, F.col("text"))))
+        .when(F.col("k") % 4 == 3, log(("message", own, draft), ("message", stray, draft), ("delta", stray, draft), ("regenerate", own, none), ("delta", own, one), ("delta", own, two), ("delta", own, rest), ("message", other, draft), ("delete", other, none)))
+        .otherwise(log(("message", none, F.col("text"))))
+    )
+    events = rows.select("conv_id", "k", "role", F.posexplode(made).alias("j", "e"))
+    return events.select("conv_id", (F.col("k") * 16 + F.col("j")).alias("seq"), "e.event", "e.message_id", "role", "e.text")
+
+
+def taken_back(events: DataFrame) -> DataFrame:
+    """(conv_id, after, until) of every regeneration that finds its message: what came in between at a place of its own is taken back.
+
+    events: (conv_id, n, event, message_id) of the messages that are regenerated at some time, n their places in the log. Walks each
+    conversation with the places of those of them that stand.
+    """
+    kind = events.schema["conv_id"].dataType.simpleString()
+
+    def row(standing, values):
+        _, n, event, message = values
+        place = standing.setdefault(message, n)  # in order of place, as later ones are put behind
+        if event != "regenerate" or place == n:
+            return []
+        while (last := next(reversed(standing))) != message:
+            del standing[last]
+        return [(values[0], place, n)]
+
+    ordered = events.select("conv_id", "n", "event", "message_id").repartition("conv_id").sortWithinPartitions("conv_id", "n")
+    return stream(ordered, dict, row, lambda key, standing: [], f"conv_id {kind}, after bigint, until bigint")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """Final message fragments: conv_id, position, part, whole, role, text; a message is a fragment that is whole, or those of a position, joined by part.
 
     events: conv_id, seq (long, the order), event (EVENTS), message_id (string or null), role, text. An event without a
     message_id is a whole message of its own. With one: the first event fixes its position and role; message and edit set its text anew, delta
-    appends, regenerate empties it and takes back all messages that stood after it by then, delete takes it back until
-    an event sets it again. Null texts count as empty, null events as message; unknown events are an error. Equal seqs are
-    ordered by message_id, role, then text. Null conv_ids make one conversation, null seqs come first.
+    appends, regenerate empties it and takes back all messages that stand after it by then, delete empties it and hides it, deltas that follow
+    included, until an event sets it again. A message that was taken back and gets an event later begins anew, at that event's position.
+    Null texts count as empty, null events as message; unknown events are an error. Equal seqs are
+    ordered by message_id, role, text, then event. Null conv_ids make one conversation, null seqs come first.
     """
     e = events.select("conv_id", F.col("seq").cast("long").alias("seq"), F.coalesce("event", F.lit("message")).alias("event"), F.col("message_id").cast("string").alias("message_id"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     e = e.withColumn("event", F.when(F.col("event").isin(*EVENTS), F.col("event")).otherwise(F.raise_error(F.concat(F.lit("unknown event "), F.col("event")))))
-    e = e.withColumn("at", F.struct(F.coalesce(F.col("seq"), F.lit(-(2**63))).alias("seq"), F.coalesce("message_id", F.lit("")).alias("id"), "role", "text"))
-    whole = e.where("message_id is null").select("conv_id", "at", F.col("at").alias("position"), F.col("at").alias("part"), F.lit(True).alias("whole"), "role", "text")
-    named = e.where("message_id is not null")
-    sets = F.col("event") != "delta"
-    heads = named.groupBy("conv_id", "message_id").agg(F.min("at").alias("position"), F.min_by("role", "at").alias("first_role"), F.max(F.when(sets, F.col("at"))).alias("last_set"), F.max_by("event", F.when(sets, F.col("at"))).alias("last_event"))
-    same = (F.col("n.conv_id").eqNullSafe(F.col("h.conv_id"))) & (F.col("n.message_id") == F.col("h.message_id"))
-    parts = named.alias("n").join(heads.alias("h"), same).where(F.col("h.last_set").isNull() | (F.col("n.at") >= F.col("h.last_set"))).where("not (h.last_event = 'delete' and n.at = h.last_set)")
-    parts = parts.select("n.conv_id", "n.at", "h.position", F.col("n.at").alias("part"), F.lit(False).alias("whole"), F.col("h.first_role").alias("role"), F.when(F.col("n.event") == "regenerate", F.lit("")).otherwise(F.col("n.text")).alias("text"))
-    fragments = whole.unionByName(parts)
-    # a regeneration of the message at p, after f, takes back what has a position between p and itself
-    cuts = named.where("event = 'regenerate'").alias("n").join(heads.alias("h"), same).select("n.conv_id", F.col("n.at").alias("at"), F.col("h.position").alias("cut"))
-    marked = fragments.withColumn("cut", F.lit(None).cast(cuts.schema["cut"].dataType)).unionByName(cuts.select("conv_id", "at", F.col("at").alias("position"), F.lit(None).cast(whole.schema["part"].dataType).alias("part"), F.lit(False).alias("whole"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"), "cut"))
-    later = Window.partitionBy("conv_id").orderBy(F.col("position").desc(), F.col("cut").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return marked.withColumn("low", F.min("cut").over(later)).where("part is not null and (low is null or position <= low)").select("conv_id", "position", "part", "whole", "role", "text")
+    order = Window.partitionBy("conv_id").orderBy("seq", F.coalesce("message_id", F.lit("")), "role", "text", "event")
+    e = e.withColumn("n", F.row_number().over(order).cast("long"))
+    message = Window.partitionBy("conv_id", "message_id")
+    again = e.where("message_id is not null").select("conv_id", "n", "event", "message_id").withColumn("cuts", F.max(F.col("event") == "regenerate").over(message)).where("cuts")
+    cuts = taken_back(again).select("conv_id", F.col("after").alias("n"), "until")
+    # what lies between a regenerated message and its regeneration stands no more
+    missing = {c: F.lit(None).cast("string") for c in ("event", "message_id", "role", "text")}
+    marked = e.withColumn("until", F.lit(None).cast("long")).drop("seq").unionByName(cuts.withColumns(missing))
+    earlier = Window.partitionBy("conv_id").orderBy("n", F.col("until").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = marked.withColumn("reach", F.max("until").over(earlier)).where("event is not null")
+    stands = F.col("reach").isNull() | (F.col("reach") <= F.col("n"))
+    begun = marked.withColumn("begin", F.min(F.when(stands, F.struct("n", "role"))).over(message))
+    live = begun.withColumn("last", F.max(F.when((F.col("event") != "delta") & (F.col("n") >= F.col("begin.n")), F.struct("n", "event"))).over(message))
+    alone = F.col("message_id").isNull()
+    kept = (alone & stands) | (~alone & (F.col("n") >= F.col("begin.n")) & (F.col("last").isNull() | ((F.col("n") >= F.col("last.n")) & (F.col("last.event") != "delete"))))
+    return live.where(kept).select("conv_id", F.when(alone, F.col("n")).otherwise(F.col("begin.n")).alias("position"), F.col("n").alias("part"), alone.alias("whole"), F.when(alone, F.col("role")).otherwise(F.col("begin.role")).alias("role"), F.when(F.col("event") == "regenerate", F.lit("")).otherwise(F.col("text")).alias("text"))
 
 
 def stream(df: DataFrame, start, row, end, schema: str) -> DataFrame:
@@ -147,7 +198,9 @@ def render(messages: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     messages: as fold returns them. Joining a conversation's pieces by piece_no gives its formatted text.
     """
     kind = messages.schema["conv_id"].dataType.simpleString()
-    lined = messages.repartition("conv_id").sortWithinPartitions("conv_id", "position", "part").select("conv_id", F.to_json("position").alias("position"), "whole", "role", "text")
+    # a window asks for a conversation's rows in one partition, which fold has left so: nothing is shuffled for it
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("position", "part"))
+    lined = messages.withColumn("number", number).where("number > 0").sortWithinPartitions("conv_id", "position", "part").select("conv_id", "position", "whole", "role", "text")
 
     def start():
         return {"n": 0, "position": None, "role": "", "parts": []}

@@ -17,12 +17,11 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.chat import fold, read_back, render
+    from tessera.llm.chat import fold, logs, read_back, render
 
     kept = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.sql("select -1L conv_id, turn, role, '</s>[INST] ok [/INST]' text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
-    events = kept.unionByName(control).select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("event"), F.lit(None).cast("string").alias("message_id"), "role", "text")
-    return read_back(render(fold(events)))
+    return read_back(render(fold(logs(kept.unionByName(control)))))
 
 
 OP1_SQL = r"""

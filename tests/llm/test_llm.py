@@ -50,7 +50,7 @@ EVENTS = "conv_id long, seq long, event string, message_id string, role string,
 def fold_by_hand(events):
     """The log of one conversation, event by event."""
     messages, n = {}, 0
-    for seq, event, mid, role, text in sorted(events, key=lambda e: (e[0], e[2] or "", e[3], e[4])):
+    for seq, event, mid, role, text in sorted(events, key=lambda e: (e[0], e[2] or "", e[3], e[4] or "", e[1])):
         if mid is None:
             mid = ("whole", n)
         n += 1
@@ -78,6 +78,40 @@ def test_fold_events(spark):
         chat.fold(spark.createDataFrame([(1, 0, "what", None, "user", "x")], EVENTS)).collect()
 
 
+def test_random_logs_against_the_fold_by_hand(spark):
+    r = random.Random(8)
+    convs = {}
+    for c in range(400):
+        ids = [None, *(f"m{k}" for k in range(r.randint(1, 6)))]
+        kinds = r.choice([chat.EVENTS, ("message", "delta", "regenerate"), ("message", "regenerate", "delete", "delta")])
+        convs[c] = [(r.choice([k, k, k // 2]), r.choice(kinds), r.choice(ids), r.choice(["user", "assistant"]), r.choice([None, f"t{k} ", "</s>"])) for k in range(r.randint(1, 25))]
+        convs[c] = [(s, "message" if m is None else e, m, *x) for s, e, m, *x in convs[c]]
+    df = spark.createDataFrame([(c, *e) for c, log in convs.items() for e in log], EVENTS)
+    got = defaultdict(list)
+    for p in chat.render(chat.fold(df.repartition(5))).orderBy("conv_id", "piece_no").collect():
+        got[p["conv_id"]].append(chat.INSTRUCT.parse(p["piece"]))
+    for c, log in convs.items():
+        assert got[c] == fold_by_hand(log), log
+
+
+def test_deleted_and_sent_again(spark):
+    for log in ([(0, "message", "a", "user", "x"), (1, "delete", "a", "user", None), (2, "delta", "a", "user", "y")], [(0, "message", "a", "user", "q"), (1, "message", "b", "assistant", "x"), (2, "regenerate", "a", "user", None), (3, "message", None, "user", "w"), (4, "message", "b", "assistant", "y")]):
+        pieces = chat.render(chat.fold(spark.createDataFrame([(1, *e) for e in log], EVENTS))).orderBy("piece_no").collect()
+        assert [chat.INSTRUCT.parse(p["piece"]) for p in pieces] == fold_by_hand(log)
+
+
+def test_logs_fold_to_their_turns(spark):
+    turns = [(c, t // 2, r, x) for c in (1, None) for t, (r, x) in enumerate([("user", "hello there 日本"), (None, None), ("assistant", "a"), ("assistant", "a"), ("tool", "</s>"), ("user", "long " * 50)] * 3)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    made = chat.logs(df)
+    assert {x["event"] for x in made.select("event").distinct().collect()} == set(chat.EVENTS)
+    got = defaultdict(list)
+    for p in chat.render(chat.fold(made)).orderBy("conv_id", "piece_no").collect():
+        got[p["conv_id"]].append(chat.INSTRUCT.parse(p["piece"]))
+    for c in (1, None):
+        assert got[c] == [(r, x) for _, r, x in sorted((t, r or "", x or "") for d, t, r, x in turns if d == c)]
+
+
 def test_chat_odd_rows(spark):
     df = spark.createDataFrame([(None, None, None, None, None, None), (1, 0, None, None, "user", None), (1, 0, None, None, "user", None), (1, 1, "message", None, None, "z" * 100_000)], EVENTS)
     got = {r["conv_id"]: r for r in chat.read_back(chat.render(chat.fold(df))).collect()}
