@@ -6,17 +6,17 @@ that ends inside that suffix, and their counts relative to now. Each transition
 emitted tokens. The rule behind it: the encoding of a prefix ends in the one piece t that is a suffix of it and whose
 pair (last token before t, t) is stable, that is, encodes to itself. States are made on demand and interned.
 
-A text is cut into chunks at synchronising places, where the state doesn't depend on what came before: before a run
-of word marks that follows another character, and around characters that no piece holds. A chunk's state map is then the single entry
-start -> (start, count), and maps compose by an associative scan (a sum of counts here; `compose` and `scan` do it for
-maps over any states).
+A text is cut into blocks. Where a block begins matters only through the states that can enter it, so each block has a state map: entering
+state -> (state at its end, tokens). Maps compose, and a parallel prefix scan over a text's maps gives its count. Blocks end, if
+they can, at synchronising places, where the state doesn't depend on what came before: before a run of word marks that
+follows another character. One state can enter a block that begins there, and inside it words are counted through a cache, as they synchronise
+as well. A word longer than a block is cut anywhere; its blocks are run from the states that the block before ends in.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
-from functools import reduce
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import map_arrow
 
 MARK = "▁"
+#: A space after another character.
+word_start = re.compile(r"(?<! ) ").search
 
 
 def load_pieces(model_path: str) -> dict[str, float]:
@@ -52,8 +54,8 @@ class Transducer:
         self.held = {c for p in pieces for c in p}
         self.longest = max(map(len, pieces), default=1)
         self.stable: dict[tuple, bool] = {}
-        self.states: dict[tuple, int] = {("", (None,), (0,)): 0}
-        self.by_id = [("", (None,), (0,))]
+        self.states: dict[tuple, int] = {BEGIN: 0}
+        self.by_id = [BEGIN]
         self.arcs: list[dict[str, tuple[int, int]]] = [{}]
 
     def merge(self, text: str) -> list[str]:
@@ -107,8 +109,17 @@ class Transducer:
             count += delta
         return state, count
 
-    def chunk_map(self, text: str, starts: Iterable[int]) -> dict[int, tuple[int, int]]:
-        return {s: self.run(text, s) for s in starts}
+    def chunk_map(self, text: str, starts: Iterable[tuple]) -> dict[tuple, tuple[tuple, int]]:
+        """State map of a text by the states' own descriptions, which outlive their numbers."""
+        out = {}
+        for start in starts:
+            at = self.states.setdefault(start, len(self.by_id))
+            if at == len(self.by_id):
+                self.by_id.append(start)
+                self.arcs.append({})
+            to, count = self.run(text, at)
+            out[start] = (self.by_id[to], count)
+        return out
 
     def chunk_pattern(self) -> re.Pattern:
         """Chunks of a text whose spaces are still spaces: a run of spaces with what follows; a newline too if no piece holds it."""
@@ -119,13 +130,17 @@ class Transducer:
         return not any(MARK in p.lstrip(MARK) for p in self.pieces)
 
 
-def compose(a: dict[int, tuple[int, int]], b: dict[int, tuple[int, int]]) -> dict[int, tuple[int, int]]:
-    """The map of two chunks in a row."""
+#: What a text begins with, and any block that begins at a synchronising place.
+BEGIN = ("", (None,), (0,))
+
+
+def compose(a: dict[tuple, tuple[tuple, int]], b: dict[tuple, tuple[tuple, int]]) -> dict[tuple, tuple[tuple, int]]:
+    """The map of two blocks in a row."""
     return {s: (b[mid][0], n + b[mid][1]) for s, (mid, n) in a.items() if mid in b}
 
 
 def scan(maps: list[dict]) -> list[dict]:
-    """Inclusive prefix scan by doubling: after round r, entry i covers 2**r chunks."""
+    """Inclusive prefix scan by doubling: after round r, entry i covers 2**r blocks."""
     out, reach = list(maps), 1
     while reach < len(out):
         out = [compose(out[i - reach], m) if i >= reach else m for i, m in enumerate(out)]
@@ -143,26 +158,57 @@ class ChunkCounts(dict):
     def __missing__(self, chunk: str) -> int:
         if len(self) >= self.most:
             self.clear()
-        if len(self.transducer.by_id) > self.most_states or len(self.transducer.stable) > 4 * self.most_states:
-            self.transducer.__init__(self.transducer.pieces)
+        self.trim()
         count = self[chunk] = self.transducer.run(chunk.replace(" ", MARK))[1]
         return count
 
+    def trim(self) -> None:
+        """Forget the states where they are too many; they are made anew."""
+        if len(self.transducer.by_id) > self.most_states or len(self.transducer.stable) > 4 * self.most_states:
+            self.transducer.__init__(self.transducer.pieces)
+
 
 class Counter:
-    def __init__(self, pieces: dict[str, float]):
+    """Counts tokens of texts by scans over the state maps of their blocks, of block characters to twice as many."""
+
+    def __init__(self, pieces: dict[str, float], block: int = 1 << 15):
         self.transducer = Transducer(pieces)
         if not self.transducer.synchronises():
             raise ValueError("a piece holds a word mark after another character: word starts don't synchronise")
+        self.block = block
         self.chunks = self.transducer.chunk_pattern().findall
         self.counts = ChunkCounts(self.transducer)
 
+    def blocks(self, text: str) -> Iterator[tuple[str, bool]]:
+        """The blocks of a text, and whether each ends at a synchronising place."""
+        at = 0
+        while len(text) - at > 2 * self.block:
+            found = word_start(text, at + self.block, at + 2 * self.block)
+            to = found.start() if found else at + 2 * self.block
+            yield text[at:to], found is not None
+            at = to
+        yield text[at:], True
+
+    def state_maps(self, text: str) -> Iterator[dict]:
+        """A map for each block, from the states that can enter it."""
+        enter = [BEGIN]
+        for block, synchronised in self.blocks(text):
+            if enter == [BEGIN] and synchronised:
+                yield {BEGIN: (BEGIN, sum(map(self.counts.__getitem__, self.chunks(block))))}
+                continue
+            self.counts.trim()
+            made = self.transducer.chunk_map(block.replace(" ", MARK), enter)
+            if synchronised:
+                made = {start: (BEGIN, count) for start, (_, count) in made.items()}
+            enter = list({to for to, _ in made.values()})
+            yield made
+
     def count(self, text: str | None) -> int:
         if not text:
             return 0
         if MARK in text:
             text = text.replace(MARK, " ")
-        return sum(map(self.counts.__getitem__, self.chunks(" " + text)))
+        return scan(list(self.state_maps(" " + text)))[-1][BEGIN][1]
 
 
 _counters: dict[int, Counter] = {}

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import assert_same, sql_rows
@@ -147,9 +148,7 @@ def test_quality_follows_labels(spark, sf_dir):
 
 
 def test_token_counts_match_the_library(spark, sf_dir):
-    import sentencepiece
-
-    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    sp, sf_dir = SP, sf_dir.replace("0.001", "0.01")
     got = queries.op3_token_counts(spark, sf_dir).collect()
     texts = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
     assert len(got) == len(texts)
@@ -163,27 +162,38 @@ def test_token_counts_match_the_library(spark, sf_dir):
 
 PIECES = token_counts.load_pieces(MODEL)
 COUNTER = token_counts.Counter(PIECES)
+SP = sentencepiece.SentencePieceProcessor(model_file=MODEL)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="abethinor T▁ \nß日0.,<>/s", max_size=50))
 def test_transducer_against_the_library(text):
-    import sentencepiece
-
-    global SP
-    SP = globals().get("SP") or sentencepiece.SentencePieceProcessor(model_file=MODEL)
     assert COUNTER.count(text) == len(SP.encode(text))
 
 
 def test_state_maps_compose():
     t = token_counts.Transducer(PIECES)
     parts = ["▁the", "rein", "▁on", "ation", "s▁of"]
-    starts = range(len(t.by_id))
-    maps = [t.chunk_map(parts[0], [0])]
-    for p in parts[1:]:
-        maps.append(t.chunk_map(p, range(len(t.by_id))))
-    assert token_counts.scan(maps)[-1][0] == t.run("".join(parts))
-    assert len(starts) >= 1
+    enter, maps = [token_counts.BEGIN], []
+    for p in parts:
+        maps.append(t.chunk_map(p, enter))
+        enter = [*t.by_id[:50], *(to for to, _ in maps[-1].values())]
+    to, n = t.run("".join(parts))
+    assert token_counts.scan(maps)[-1][token_counts.BEGIN] == (t.by_id[to], n)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abethinor T▁ \nß日0.,", max_size=80), st.integers(1, 9))
+def test_blocks_of_any_size_count_the_same(text, block):
+    counter = token_counts.Counter(PIECES, block)
+    counter.counts.most_states = 20  # states are forgotten between blocks
+    assert counter.count(text) == COUNTER.count(text) == len(SP.encode(text))
+
+
+def test_long_texts_without_spaces():
+    r = random.Random(4)
+    for text in ("".join(r.choices("abcdefghijklmnopqrst", k=1_000_000)), "".join(r.choices("日本語一二三abc", k=300_000)), " " * 200_000, "the" * 100_000 + " " + "x" * 100_000 + " word" * 30_000):
+        assert len(list(COUNTER.blocks(text))) > 3 and COUNTER.count(text) == len(SP.encode(text))
 
 
 # op4
