@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from html import escape, unescape
 
@@ -23,20 +24,25 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import map_arrow
 
-# Kinds of HTML elements, as the HTML standard has them.
+# Kinds of HTML elements, as the HTML standard has them. RAW hold text alone, up to their end tag; what is in SKIPPED isn't shown as text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template title textarea iframe svg math object canvas select audio video xmp noembed noframes".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+SKIPPED = frozenset("noscript template svg math object canvas select audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label link mark meter nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: A start tag of the key closes an open element of the value, up to one of SCOPE.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table tbody thead tfoot article section main body div nav aside form td th".split())
 NOT_IN_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: No skipped element holds these: a start tag of one ends those that were left open.
+NOT_SKIPPED = frozenset("article main h1".split())
 
-token = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
+tag_name = re.compile(r"[a-zA-Z][^\s/>]*")
+END_OF = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in RAW}
+quote_or_end = re.compile("[\"'>]").search
 attribute = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 name_parts = re.compile(r"[a-z]+").findall
 
-# Words of class names and ids by what they speak for.
+# Words of class names and ids by what they speak for: this operator's own choice of features.
 FAMILIES = {
     "ad": "ad ads adv advert advertisement advertising adslot adsense banner dfp promo promoted promotion sponsor sponsored commercial",
     "notice": "alert consent cookie cookies gdpr modal newsletter notice notification overlay paywall popup privacy signup subscribe subscription toast",
@@ -56,92 +62,162 @@ FAMILY = {w: f for f, words in FAMILIES.items() for w in words.split()}
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]
+    tags: frozenset[str]
+    own: str
     families: frozenset[str]
     linked: int
     parent: int
 
 
+def tags_of(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it closes, attributes) of every tag; comments and declarations have the name "". A > inside quotes ends no tag, unless a quote is left open.
+
+    After the start tag of a RAW element comes its end tag. Takes time in proportion to the page: what a scan for closing quotes ran into in vain is remembered.
+    """
+    at, vain = 0, set()
+    while (start := html.find("<", at)) >= 0:
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            at = len(html) if end < 0 else end + 3
+            yield start, at, "", False, ""
+            continue
+        near = html.find(">", start)
+        if near < 0:  # no tag ends any more
+            at = html.find("<!--", start)
+            if at < 0:
+                return
+            continue
+        if html[start + 1] in "!?":
+            at = near + 1
+            yield start, at, "", False, ""
+            continue
+        closing = html[start + 1] == "/"
+        name = tag_name.match(html, start + 1 + closing, near)
+        if not name:
+            at = start + 1
+            continue
+        end, k, opened = near, name.end(), []
+        while found := quote_or_end(html, k):
+            k = found.start()
+            if html[k] == ">":
+                end = k
+                break
+            opened.append(k)
+            close = -1 if k in vain else html.find(html[k], k + 1)
+            if close < 0:
+                vain.update(opened)
+                break
+            k = close + 1
+        else:
+            vain.update(opened)
+        at = end + 1
+        yield start, at, (low := name[0].lower()), closing, html[name.end() : end]
+        if low in RAW and not closing:
+            found = END_OF[low].search(html, at)
+            at = found.start() if found else len(html)
+
+
+@dataclass(slots=True)
+class Open:
+    """An open element with what holds for all around it too: families, kinds of ancestors, the innermost block-level element and its parent."""
+
+    name: str
+    families: frozenset[str]
+    tags: frozenset[str]
+    own: str
+    number: int
+    parent: int
+
+
 def blocks(html: str | None) -> list[Block]:
     """The leaf blocks of a page in order."""
     html = html or ""
-    stack: list[tuple[str, frozenset, int]] = []  # tag, families, number
+    root = Open("", frozenset(), frozenset(), "", -1, -1)
+    stack: list[Open] = [root]
+    places: dict[str, list[int]] = {}  # where elements of a name lie in the stack
+    solid: list[int] = [0]  # where those that aren't inline do
     out: list[Block] = []
     parts: list[str] = []
-    linked, links, count, at, skip = 0, 0, 0, 0, ""
+    linked, links, hidden, count, at, raw = 0, 0, 0, 0, 0, ""
 
     def flush() -> None:
         nonlocal linked
-        raw = "".join(parts)
+        held = "".join(parts)
         parts.clear()
-        if raw:
-            text = " ".join((unescape(raw) if "&" in raw else raw).split())
+        if held:
+            text = " ".join((unescape(held) if "&" in held else held).split())
             if text:
-                around = [x for x in stack if x[0] not in INLINE]
-                out.append(Block(text, tuple(x[0] for x in stack), frozenset().union(*(x[1] for x in stack)), min(linked, len(text)), around[-2][2] if len(around) > 1 else -1))
+                top = stack[-1]
+                out.append(Block(text, top.tags, top.own, top.families, min(linked, len(text)), top.parent))
         linked = 0
 
+    def last(*names: str) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
+
     def drop(to: int) -> None:
-        nonlocal links
+        nonlocal links, hidden
         while len(stack) > to:
-            links -= stack.pop()[0] == "a"
-
-    for m in token.finditer(html):
-        if skip:
-            if (m[2] or m[5] or "").lower() != skip or not (m[1] or m[4]):
-                continue
-            at, skip = m.end(), ""
+            gone = stack.pop().name
+            places[gone].pop()
+            links -= gone == "a"
+            hidden -= gone in SKIPPED
+            if solid[-1] == len(stack):
+                solid.pop()
+
+    for start, end, name, closing, attributes in tags_of(html):
+        if raw:
+            at, raw = end, ""
             continue
-        if m.start() > at:
-            piece = html[at : m.start()]
+        if start > at and not hidden:
+            piece = html[at:start]
             parts.append(piece)
             if links:
                 linked += len(piece.strip())
-        at = m.end()
-        name = m[2] or m[5]
+        at = end
         if not name:
             continue
-        name, closing = name.lower(), bool(m[1] or m[4])
         if name in INLINE:
             if name in ("br", "wbr", "img", "input"):
                 parts.append(" " if name == "br" else "")
                 continue
-        else:
+        elif not hidden and (name not in RAW and name not in SKIPPED or name == "title"):
             flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    drop(k)
-                    break
-                if name in INLINE and stack[k][0] not in INLINE:
-                    break
+            k = last(name)
+            if k and (name not in INLINE or k > solid[-1]):
+                drop(k)
             continue
         if name in RAW:
-            if not (m[3] or m[6] or "").rstrip().endswith("/") or name not in ("svg", "math"):
-                skip = name
+            raw = name
             continue
-        if name in VOID:
+        if name in VOID or name in SKIPPED and attributes.rstrip().endswith("/"):
             continue
+        if name in NOT_SKIPPED and hidden:
+            drop(min(places[x][0] for x in SKIPPED if places.get(x)))
+            flush()
         if name in NOT_IN_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    drop(k)
-                    break
-                if stack[k][0] in SCOPE:
-                    break
+            if (k := last("p")) > last(*SCOPE):
+                drop(k)
         elif name in CLOSES:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES[name]:
+            if name == "tr":
+                within = last(*(SCOPE - {"td", "th"}))
+                if (k := min((x for n in CLOSES[name] for x in places.get(n, ()) if x > within), default=0)):
                     drop(k)
-                    if name != "tr":
-                        break
-                elif stack[k][0] in SCOPE and not (name == "tr" and stack[k][0] in ("td", "th")):
-                    break
-        families = frozenset(FAMILY[w] for v in attribute.findall(m[3] or m[6] or "") for w in name_parts(v.lower()) if w in FAMILY)
+            elif (k := last(*CLOSES[name])) and k >= last(*SCOPE):
+                drop(k)
+        top = stack[-1]
+        families = top.families.union(FAMILY[w] for v in attribute.findall(attributes) for w in name_parts(v.lower()) if w in FAMILY) if attributes else top.families
+        tags = top.tags if name in top.tags or name not in KINDS else top.tags | {name}
         count += 1
         links += name == "a"
-        stack.append((name, families, count))
-    if not skip and at < len(html):
+        hidden += name in SKIPPED
+        if name in INLINE or name in SKIPPED:
+            stack.append(Open(name, families, tags, top.own, top.number, top.parent))
+        else:
+            solid.append(len(stack))
+            stack.append(Open(name, families, tags, name, count, top.number))
+        places.setdefault(name, []).append(len(stack) - 1)
+    if not raw and not hidden and at < len(html):
         parts.append(html[at:])
     flush()
     return out
@@ -152,6 +228,7 @@ def bucket(n: int) -> int:
 
 
 ANCESTORS = ("article", "main", "nav", "header", "footer", "aside", "form", "ul", "ol", "table", "section", "figure", "figcaption", "blockquote", "pre", "button", "label", "dialog", "address", "a", "dl", "fieldset", "details", "menu")
+KINDS = frozenset(ANCESTORS)
 
 
 def features(found: list[Block]) -> list[list[str]]:
@@ -159,8 +236,7 @@ def features(found: list[Block]) -> list[list[str]]:
     out, seen_heading = [], False
     has_article = any("article" in b.tags or "main" in b.tags for b in found)
     for k, b in enumerate(found):
-        tags = set(b.tags)
-        own = next((t for t in reversed(b.tags) if t not in INLINE), "")
+        tags, own = b.tags, b.own
         n = b.text.count(" ") + 1
         inside = "article" in tags or "main" in tags
         f = ["bias", f"own={own}", f"words={bucket(n)}", f"links={4 * b.linked // len(b.text)}", f"end={b.text[-1] in '.!?…:;。'}", f"heading={seen_heading}", f"inside={inside if has_article else 'none'}"]
@@ -312,13 +388,13 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, list[bool]]]:
                 put(f"<div{attrs('share', 'social', 'share-buttons')}><a href='#'>{sentence(1, 2)}</a></div>", False)
 
         put(f"<!DOCTYPE html><html><head><title>{text(1, 1)}</title><style>p{{margin:0}}</style><script>var a='<p>x</p>';</script></head><body>")
-        for kind in r.sample(["nav", "header", "ad", "notice", "form", "aside"], r.randint(1, 4)):
+        for kind in r.sample(["nav", "header", "ad", "notice", "form", "aside"], r.choice([0, 0, 1, 2, 3, 4])):
             noise(kind)
         opened = r.choice(["<article>", "<article>", "<article>", "<main>", "<main><article>", f"<div{attrs('content', 'article', 'post', 'entry-content', 'main', 'story-body', 'article-body')}>", "<div>"])
         put(opened)
         if r.random() < 0.85:
             put(f"<h1>{text(1, 1)}</h1>", True)
-        for k in range(r.randint(1, 12)):
+        for k in range(r.choice([1, 1, *range(1, 13)])):
             what = r.random()
             if k and what < 0.06:
                 noise(r.choice(["ad", "ad", "aside", "social", "form", "notice", "nav"]))

@@ -470,6 +470,24 @@ def test_held_out_pages():
     assert html_crf.extract(page, crf) == "T & U\nOne two three four five.\nNext link text goes on here."
 
 
+def test_open_elements_swallow_no_page():
+    crf = html_crf.train(html_crf.labelled_pages())
+    article = "<article><h1>The title of it</h1><p>A first paragraph with several words.</p><p>And another one, as long as that.</p></article>"
+    want = "The title of it\nA first paragraph with several words.\nAnd another one, as long as that."
+    for opened in ("<video src=x>", "<object data=x>", "<select name=a><option>one", "<div><canvas></div>", "<audio controls><p>Not played.</p>", "<svg><path d='M0'/>", "<noscript><p>Please</p>"):
+        assert html_crf.extract(f"<body><nav><a href=x>Menu</a></nav>{opened}{article}<video><p>No video.</p></video><footer>(c) me</footer></body>", crf) == want, opened
+    assert html_crf.extract("<article><p>Before <svg><title>no</title><text>no</text></svg>and<script>if (a<b) x('</p>')</script> after it, <select><option>a<option>b</select>all one block.</p></article>", crf) == "Before and after it, all one block."
+
+
+@pytest.mark.parametrize("page", ["<a '" * 250_000, "<div>" * 200_000, "<div>x" * 150_000, "<div class=ad><b>y</i>" * 50_000, "<a" * 500_000, "<!" * 500_000, "<a '\"" * 200_000 + ">", "<p x='>" * 150_000, "<!--" * 250_000, "<td>" * 250_000, "<b>" * 300_000 + "</i>" * 30_000, "<li><section></p>" * 60_000, "<a href=\"" * 100_000 + "'>", "&amp" * 250_000, "<tr><td>" * 120_000])
+def test_time_in_proportion_to_a_page(page):
+    import time
+
+    began = time.perf_counter()
+    html_crf.blocks(page)
+    assert time.perf_counter() - began < 6  # about a second; a scan that turns back takes minutes
+
+
 def test_extraction_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", "<p>"), (3, "u", "<" * 2000), (4, "u", "<div " + "a='" * 500), (5, "u", "plain"), (5, "u", "plain"), (6, "u", "<p>x</p>" * 20_000)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     out = html_crf.extract_main_text(pages).collect()
