@@ -6,22 +6,22 @@ the largest ratio listed for it or one of its beginnings, else a small negative
 maximal scoring segments of a text (every one is a passage more toxic than its surroundings). Calibrate: with Karlin and
 Altschul's statistics, lambda solves sum p(s) exp(lambda s) = 1 over the scores of clean text and K is fitted to clean
 texts' best segments, so that lambda S - ln(K n) is comparable across lengths; a logistic curve fitted to the labels
-turns the document's extreme value and the sum statistic over its segments into a score between 0 and 1.
+turns the document's extreme value and the sum statistic over its segments into a score between 0 and 1. Calibration is cross-fitted:
+each part of the labelled rows is scored by a lexicon that it didn't help to choose.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, map_arrow
+from tessera.llm.common import bounded, delete, map_arrow, materialise
 
 letters = re.compile(r"[^\W\d_]+").findall
 #: Lengths of word beginnings that are features.
@@ -35,7 +35,7 @@ class Model:
     drift: float
     lam: float
     log_k: float
-    weights: tuple[float, float, float]
+    weights: tuple[float, float, float, float]
 
 
 class Scores(dict):
@@ -109,37 +109,45 @@ def sum_statistic(z: list[float]) -> float:
     return best
 
 
-def features(extreme: float, total: float) -> tuple[float, float]:
-    return math.log1p(extreme), math.log1p(total)
+def features(extreme: float, total: float, found: bool) -> tuple[float, float, float]:
+    """What the logistic curve takes: the extreme value, the sum statistic, and whether there is any segment."""
+    return math.log1p(extreme), math.log1p(total), float(found)
 
 
-def probability(model: Model, extreme: float, total: float) -> float:
-    a, b = features(extreme, total)
-    w = model.weights
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, w[0] + w[1] * a + w[2] * b))))
+def probability(model: Model, text: str | None, scores: Scores) -> tuple[float, float, list]:
+    """(probability, extreme value, segments) of a text."""
+    extreme, total, _, segments = evidence(text, scores)
+    x = model.weights[0] + sum(w * f for w, f in zip(model.weights[1:], features(extreme, total, bool(segments)), strict=True))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, x)))), extreme, segments
+
+
+#: Parts of the labelled rows, each of which is scored by what the others taught while the calibration is fitted.
+FOLDS = 4
 
 
 def count_features(labelled: DataFrame) -> DataFrame:
-    """Documents of either class that hold each word (kind w) and word beginning (kind p); counted a partition before the shuffle."""
+    """(feature, c): labelled documents (text, toxic, fold) that hold each word (kind w) and word beginning (kind p), counted as c[2 * fold + toxic]; summed a partition before the shuffle."""
 
     def run(batches):
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        counts: dict[str, list[int]] = {}
+
         def flush():
-            keys = list(counts[0].keys() | counts[1].keys())
-            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([counts[0][k] for k in keys], pa.int64()), pa.array([counts[1][k] for k in keys], pa.int64())], ["feature", "n0", "n1"])
-            for c in counts:
-                c.clear()
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in range(2 * FOLDS))], ["feature", *(f"c{k}" for k in range(2 * FOLDS))])
+            counts.clear()
             return out
+
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for text, toxic, fold in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = set(letters((text.as_py() or "").lower()))
-                counts[toxic].update("w" + w for w in found)
-                counts[toxic].update({"p" + w[:k] for w in found for k in BEGINNINGS if len(w) >= k})
-                if len(counts[0]) + len(counts[1]) > 100_000:
+                for feature in {"w" + w for w in found} | {"p" + w[:k] for w in found for k in BEGINNINGS if len(w) >= k}:
+                    counts.setdefault(feature, [0] * (2 * FOLDS))[2 * fold + toxic] += 1
+                if len(counts) > 60_000:
                     yield flush()
         yield flush()
 
-    return bounded(labelled).mapInArrow(run, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    columns = [f"c{k}" for k in range(2 * FOLDS)]
+    sums = bounded(labelled).mapInArrow(run, ", ".join(["feature string", *(f"{c} long" for c in columns)])).groupBy("feature").agg(*(F.sum(c).alias(c) for c in columns))
+    return sums.select("feature", F.array(*columns).alias("c"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 30) -> np.ndarray:
@@ -154,50 +162,71 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 30)
 
 
 def fit(labelled: DataFrame, prior: float = 0.5, least_z: float = 2.6, least_ratio: float = 3.0, drift: float = -0.7, max_lexicon: int = 50_000, max_rows: int = 20_000) -> Model:
-    """Fit to labelled (text, toxic) rows: at most max_rows of them, which bounds all that reaches the driver.
+    """Fit to labelled (text, toxic) rows: of more than max_rows, those whose texts' hashes come first, which bounds all that reaches the driver.
 
+    The lexicon is that of all these rows; the calibration (lambda, K and the logistic curve) is fitted to each part of them as the other
+    parts' lexicon scores it, so that it sees what the lexicon does to texts that didn't choose it. Parts go by the hash of the text.
     Without rows of both classes the model knows no toxic word and every text scores the share of toxic rows (0 without any).
     """
-    labelled = labelled.where("toxic is not null").select(F.col("text").cast("string"), F.when(F.col("toxic") != 0, 1).otherwise(0).alias("toxic"))
-    n = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
+    labelled = labelled.where("toxic is not null").select(F.col("text").cast("string"), F.when(F.col("toxic") != 0, 1).otherwise(0).alias("toxic"), F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
+    labelled = materialise(labelled, "labelled")
+    if labelled.count() > max_rows:
+        every, labelled = labelled, materialise(labelled.orderBy(F.xxhash64("text", "toxic"), "text", "toxic").limit(max_rows), "labelled")
+        delete(every)
+    n = [0] * (2 * FOLDS)
+    for r in labelled.groupBy("fold", "toxic").count().collect():
+        n[2 * r["fold"] + r["toxic"]] = r["count"]
+    n0, n1 = sum(n[::2]), sum(n[1::2])
     if not n0 or not n1:
         share = n1 / (n0 + n1) if n1 else 1e-9
-        return Model({}, {}, drift, 1.0, 0.0, (math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0))
-    # prior mass `prior` for a feature in either class, as for a Dirichlet over (holds it, doesn't)
-    ratio = F.log((F.col("n1") + prior) / (F.lit(n1) - F.col("n1") + prior)) - F.log((F.col("n0") + prior) / (F.lit(n0) - F.col("n0") + prior))
-    z = ratio / F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
-    rows = count_features(labelled).withColumn("ratio", ratio).withColumn("z", z).where(F.col("z") >= least_z).where(F.col("ratio") >= least_ratio).orderBy(F.desc("z"), "feature").limit(max_lexicon).collect()
-    by_word = {r["feature"][1:]: r["ratio"] for r in rows if r["feature"][0] == "w"}
-    by_beginning = {r["feature"][1:]: r["ratio"] for r in rows if r["feature"][0] == "p"}
-    draft = Model(by_word, by_beginning, drift, 1.0, 0.0, (0.0, 0.0, 0.0))
-
-    def scan(batch: pa.RecordBatch, scores: Scores) -> pa.RecordBatch:
+        return Model({}, {}, drift, 1.0, 0.0, (math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0, 0.0))
+    counted = count_features(labelled)
+    variants = [*range(FOLDS), FOLDS]  # without one fold each, and of all
+    for v in variants:
+        used = [f for f in range(FOLDS) if f != v]
+        a, b = (sum((F.col("c")[2 * f + toxic] for f in used), F.lit(0)) for toxic in (0, 1))
+        all_a, all_b = (sum(n[2 * f + toxic] for f in used) for toxic in (0, 1))
+        # prior mass `prior` for a feature in either class, as for a Dirichlet over (holds it, doesn't)
+        ratio = F.log((b + prior) / (F.lit(all_b) - b + prior)) - F.log((a + prior) / (F.lit(all_a) - a + prior))
+        z = ratio / F.sqrt(1 / (b + prior) + 1 / (a + prior))
+        counted = counted.withColumn(f"r{v}", ratio).withColumn(f"z{v}", F.when((z >= least_z) & (ratio >= least_ratio), z))
+    scores = [f"z{v}" for v in variants]
+    rows = counted.drop("c").where(F.coalesce(*scores).isNotNull()).orderBy(F.desc(F.greatest(*scores)), "feature").limit(len(variants) * max_lexicon).collect()
+    drafts = []
+    for v in variants:
+        best = sorted((r for r in rows if r[f"z{v}"] is not None), key=lambda r: (-r[f"z{v}"], r["feature"]))[:max_lexicon]
+        words, beginnings = ({r["feature"][1:]: r[f"r{v}"] for r in best if r["feature"][0] == kind} for kind in "wp")
+        drafts.append(Model(words, beginnings, drift, 1.0, 0.0, (0.0, 0.0, 0.0, 0.0)))
+
+    def scan(batch: pa.RecordBatch, scores: list[Scores]) -> pa.RecordBatch:
         best, lengths, positive, weight = [], [], [], []
-        for text in batch.column(0).to_pylist():
-            found = letters((text or "").lower())
-            values = [scores[w] for w in found]
+        for text, fold in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            values = [scores[fold][w] for w in letters((text or "").lower())]
             above = [v for v in values if v > 0]
             best.append(max((s for _, _, s in maximal_segments(values)), default=0.0))
-            lengths.append(len(found))
+            lengths.append(len(values))
             positive.append(len(above))
             weight.append(sum(above))
         return pa.RecordBatch.from_arrays([pa.array(best, pa.float64()), pa.array(lengths, pa.int64()), pa.array(positive, pa.int64()), pa.array(weight, pa.float64()), batch.column(1)], ["best", "n", "positive", "weight", "toxic"])
 
-    seen = map_arrow(labelled.select("text", "toxic"), scan, "best double, n long, positive long, weight double, toxic int", lambda: Scores(draft)).where("toxic = 0").toPandas()
+    seen = map_arrow(labelled, scan, "best double, n long, positive long, weight double, toxic int", lambda: [Scores(m, 40_000) for m in drafts]).where("toxic = 0").toPandas()
     total, positive, weight = float(seen["n"].sum()) + 1, float(seen["positive"].sum()) + 0.5, float(seen["weight"].sum()) + 1.0
     lam = solve_lambda(positive / total, max(weight / positive, 0.5), drift)
     hits = seen[seen["n"] > 0]
     log_k = math.log(max(len(hits), 1)) - math.log(float((hits["n"] * np.exp(-lam * hits["best"])).sum()) + 1e-9)
-    model = Model(by_word, by_beginning, drift, lam, log_k, (0.0, 0.0, 0.0))
+    models = [replace(m, lam=lam, log_k=log_k) for m in drafts]
 
-    def gather(batch: pa.RecordBatch, scores: Scores) -> pa.RecordBatch:
-        x = [features(*evidence(t, scores)[:2]) for t in batch.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64()), batch.column(1)], ["a", "b", "toxic"])
+    def gather(batch: pa.RecordBatch, scores: list[Scores]) -> pa.RecordBatch:
+        x = []
+        for text, fold in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            extreme, total, _, segments = evidence(text, scores[fold])
+            x.append(features(extreme, total, bool(segments)))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.float64()) for c in zip(*x, strict=True)), batch.column(1)], ["a", "b", "found", "toxic"])
 
-    table = map_arrow(labelled.select("text", "toxic"), gather, "a double, b double, toxic int", lambda: Scores(model)).toPandas()
-    w = logistic(table[["a", "b"]].to_numpy(), table["toxic"].to_numpy(dtype=float))
-    return Model(by_word, by_beginning, drift, lam, log_k, tuple(map(float, w)))
+    table = map_arrow(labelled, gather, "a double, b double, found double, toxic int", lambda: [Scores(m, 40_000) for m in models]).toPandas()
+    delete(labelled)
+    w = logistic(table[["a", "b", "found"]].to_numpy(), table["toxic"].to_numpy(dtype=float))
+    return replace(models[FOLDS], weights=tuple(map(float, w)))
 
 
 def solve_lambda(share: float, height: float, drift: float) -> float:
@@ -214,9 +243,12 @@ def solve_lambda(share: float, height: float, drift: float) -> float:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable, max_rows: int = 20_000) -> DataFrame:
-    """(text, toxic) of at most max_rows labelled documents for which usable holds: those whose hashed id comes first; a bounded set, so it is broadcast."""
-    chosen = labels.where("doc_id is not null and toxic is not null").where(usable).select("doc_id", "toxic").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    """(text, toxic) of at most max_rows labelled documents for which usable holds: those whose hashed id comes first; a bounded set of ids, so it is broadcast.
+
+    An id whose labels differ is toxic; of texts that share an id the smallest is taken.
+    """
+    chosen = labels.where("doc_id is not null and toxic is not null").where(usable).groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -231,8 +263,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def per_slice(batch: pa.RecordBatch, scores: Scores) -> pa.RecordBatch:
         rows = []
         for text in batch.column(1).to_pylist():
-            extreme, total, _, segments = evidence(text, scores)
-            p = probability(scores.model, extreme, total)
+            p, extreme, segments = probability(scores.model, text, scores)
             top = max(segments, key=lambda s: s[2], default=(None, None, 0.0))
             rows.append((p, int(p >= threshold), len(segments), top[0], top[1], extreme))
         kinds = (pa.float64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
@@ -247,7 +278,7 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", thresho
     shared, at, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col), docs.columns
 
     def per_slice(batch: pa.RecordBatch, scores: Scores) -> pa.RecordBatch:
-        keep = [probability(scores.model, *evidence(t, scores)[:2]) < threshold for t in batch.column(at).to_pylist()]
+        keep = [probability(scores.model, t, scores)[0] < threshold for t in batch.column(at).to_pylist()]
         return pa.RecordBatch.from_arrays(batch.columns, names).filter(pa.array(keep, pa.bool_()))
 
     return map_arrow(docs, per_slice, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), lambda: Scores(shared.value))
