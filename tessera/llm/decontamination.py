@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow
-from tessera.llm.minhash import M1, mix
+from tessera.llm.common import map_arrow, materialise
+from tessera.llm.minhash import M1, mix, text_key
 
 # Number words and units of measurement.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
@@ -202,7 +202,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: flo
     its place in words, and how many number, name and unit slots changed. Empty where none does.
 
     The benchmark is taken in blocks of about block_rows items and block_bytes of text, each of which is broadcast; all
-    documents pass all blocks, so any size of benchmark is searched whole. Null and empty texts leak nothing; items without
+    documents pass all blocks, so any size of benchmark is searched whole. One block's index is in memory at a time: where there are
+    several, each is searched by itself, and what leaks is joined back by the hash of the text. Null and empty texts leak nothing; items without
     words, text or id are ignored, of items that share an id the longest text counts. Items of fewer words than the width
     are one window. Rows are never dropped; other columns pass through, except that a column leaks is replaced.
     """
@@ -211,19 +212,34 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: flo
     items = items.groupBy("item_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
     total = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     blocks = max(1, -(-total["n"] // block_rows), -(-total["b"] // block_bytes))
+
+    def block(b: int):
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
+        return docs.sparkSession.sparkContext.broadcast(Index(sorted((r["item_id"], r["text"]) for r in rows), width))
+
+    if blocks == 1:
+        return search(docs, text_col, block(0), share)
+    found = None
+    for b in range(blocks):
+        index = block(b)
+        texts = docs.where(F.col(text_col).isNotNull()).select(text_key(text_col).alias("__t"), F.col(text_col).cast("string").alias("text"))
+        held = materialise(search(texts, "text", index, share).where(F.size("leaks") > 0).select("__t", "leaks"), "leaks")
+        index.destroy()
+        found = held if found is None else found.unionByName(held)
+    # rows of equal texts have equal leaks, a list for each block
+    by_text = found.groupBy("__t").agg(F.array_sort(F.flatten(F.collect_set("leaks"))).alias("leaks"))
+    joined = docs.withColumn("__t", text_key(text_col)).join(by_text, "__t", "left").drop("__t")
+    return joined.withColumn("leaks", F.coalesce("leaks", F.expr(f"cast(array() as array<{LEAK}>)")))
+
+
+def search(docs: DataFrame, text_col: str, index, share: float) -> DataFrame:
+    """docs with their leaks from the items of one broadcast index."""
     names, at = docs.columns, docs.columns.index(text_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs.withColumn("leaks", F.expr(f"cast(array() as array<{LEAK}>)"))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("first_word", pa.int32()), ("last_word", pa.int32()), ("changed_slots", pa.int32())]))
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
-        index = docs.sparkSession.sparkContext.broadcast(Index(sorted((r["item_id"], r["text"]) for r in rows), width))
 
-        def look(batch: pa.RecordBatch, codes: Codes, index=index) -> pa.RecordBatch:
-            found = []
-            for text, before in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                found.append((before or []) + [dict(zip(("item_id", "share", "first_word", "last_word", "changed_slots"), x, strict=True)) for x in index.value.search(text, codes, share)])
-            return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found, kind)], [*names, "leaks"])
+    def look(batch: pa.RecordBatch, codes: Codes) -> pa.RecordBatch:
+        found = [[dict(zip(("item_id", "share", "first_word", "last_word", "changed_slots"), x, strict=True)) for x in index.value.search(text, codes, share)] for text in batch.column(at).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*names, "leaks"])
 
-        out = map_arrow(out, look, f"{fields}, leaks array<{LEAK}>", lambda index=index: Codes(index.value.ids))
-    return out
+    return map_arrow(docs, look, f"{fields}, leaks array<{LEAK}>", lambda: Codes(index.value.ids))

@@ -534,6 +534,61 @@ def test_names_at_sentence_beginnings(spark):
     assert got == {1: [(1, 3)], 2: [], 3: []}
 
 
+def test_typed_templates_against_brute_force(spark):
+    """Items of words, names, numbers and units, and documents with one changed copy each; leaks by comparing all windows and slots directly."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(7))
+    names, units = ["Anna", "Boris", "Chloe", "Dmitri", "Elif", "Farid"], ["km", "kg", "hours", "dollars"]
+    others = {"#": [str(x) for x in range(10_000, 10_400)], "@": ["Gwen", "Hugo", "Ines", "Jorge", "Karim", "Lea"], "%": ["lb", "mph", "litres", "euros"]}
+
+    def item():
+        out = []
+        for k in range(r.randint(12, 30)):
+            x = r.random()
+            out.append(r.choice(names) if k and x < 0.15 else str(r.randint(2, 9999)) if x < 0.3 else r.choice(units) if k and out[-1].isdigit() else word())
+        return out
+
+    def kind(words, k):
+        w = words[k]
+        return "#" if w.isdigit() else "@" if w in names + others["@"] else "%" if w in units + others["%"] and k and words[k - 1].isdigit() else w
+
+    def changed(words):
+        out, value = list(words), {}
+        mode = r.choice(["values", "clash", "words", "none"])
+        for k, w in enumerate(words):
+            if kind(words, k) in "#@%" and mode != "none":
+                pool = others[kind(words, k)]
+                if w not in value or mode == "clash" and r.random() < 0.5:
+                    value[w] = r.choice([x for x in pool if x not in value.values()] or pool)
+                out[k] = value[w]
+            elif mode == "words" and r.random() < 0.08:
+                out[k] = word()
+        return out
+
+    def leaks(a, b, ta, tb):  # typed, or with names and units as words
+        places = {}
+        for i in range(len(a) - 4):
+            places.setdefault(tuple(ta[i : i + 5]), i)
+        hits = [(i, j) for j in range(len(b) - 4) if (i := places.get(tuple(tb[j : j + 5]))) is not None]
+        there, back = {}, {}
+        for i, j in hits:
+            for k in range(5):
+                if ta[i + k] in "#@%" and (there.setdefault(a[i + k], b[j + k]) != b[j + k] or back.setdefault(b[j + k], a[i + k]) != a[i + k]):
+                    return False
+        return len({i for i, _ in hits}) >= 0.8 * len(places)
+
+    items = [item() for _ in range(150)]
+    rows, want = [], {}
+    for d, a in enumerate(items):
+        b = [word() for _ in range(9)] + changed(a) + [word() for _ in range(9)]
+        rows.append((d, " ".join(b)))
+        want[d] = [d] if any(leaks(a, b, *([of(x, k) for k in range(len(x))] for x in (a, b))) for of in (kind, lambda x, k: "#" if x[k].isdigit() else x[k])) else []
+    bench = spark.createDataFrame([(d, " ".join(a)) for d, a in enumerate(items)], "item_id long, text string")
+    for blocks in ({}, {"block_rows": 40}):
+        got = {x["doc_id"]: [y["item_id"] for y in x["leaks"]] for x in decontamination.find_leaks(spark.createDataFrame(rows, DOCS), bench, **blocks).collect()}
+        assert got == want and 40 < sum(map(len, want.values())) < 130
+
+
 def test_leaks_against_brute_force(spark, sf_dir):
     import re
 
@@ -579,6 +634,45 @@ def test_toxicity_held_out(spark, sf_dir):
     assert tp > 0.85 * (tp + fn) and fp < 0.05 * (tp + fp)
 
 
+def test_scores_against_brute_force(spark, sf_dir):
+    """Scores of whole texts from the model alone: segments by their definition, statistics by their formulas."""
+    import re
+
+    sf_dir = sf_dir.replace("0.001", "0.01")
+    model = queries.toxicity_model(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 600").select("doc_id", "text").collect()
+    texts += [(-1 - k, t) for k, t in enumerate([None, "", "?!", " ".join(list(model.words)[:40]), *(" ".join(["calm"] * k + list(model.words)[:k]) for k in range(1, 9))])]
+    got = {r["doc_id"]: r for r in toxicity.score(spark.createDataFrame([tuple(t) for t in texts], DOCS), model).collect()}
+    hits = 0
+    for i, text in texts:
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        values = [max([model.words[x] for x in (w,) if x in model.words] + [s for p, s in model.beginnings.items() if w.startswith(p)], default=model.drift) for w in words]
+        segments = segments_by_hand(values) if max(values, default=-1) > 0 else []
+        z = sorted((model.lam * s - model.log_k - math.log(len(words)) for *_, s in segments), reverse=True)
+        total = 0.0
+        for r in range(1, len(z) + 1):  # -ln of e^-T T^(r-1) / (r! (r-1)!), up to the first r beyond which the sum is not positive and falls
+            t = sum(z[:r])
+            if t <= 0 and z[r - 1] < 0:
+                break
+            if t > 0:
+                total = max(total, t - (r - 1) * math.log(max(t, 1.0)) + math.log(math.factorial(r)) + math.log(math.factorial(r - 1)))
+        x = model.weights[0] + model.weights[1] * math.log1p(max(0.0, *z) if z else 0.0) + model.weights[2] * math.log1p(total) + model.weights[3] * bool(segments)
+        assert math.isclose(got[i]["score"], 1 / (1 + math.exp(-x)), rel_tol=1e-6, abs_tol=1e-9), (i, text)
+        assert got[i]["predicted"] == (got[i]["score"] >= 0.7) and got[i]["n_segments"] == len(segments)
+        hits += bool(segments)
+    assert hits >= 9
+
+
+def test_labelled_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 50, f"text {i}") for i in range(400)] + [(None, "x")], DOCS)
+    labels = spark.createDataFrame([(i % 60, int(i > 100)) for i in range(180)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(docs, labels, F.lit(True), 30)
+    assert sample.count() <= 30 and {r["toxic"] for r in sample.collect()} == {1}
+    told = docs.where("doc_id is not null").select(F.concat("text", F.when(F.col("doc_id") % 2 == 1, F.lit(" nasty")).otherwise(F.lit(" fine"))).alias("text"), (F.col("doc_id") % 2).alias("toxic"))
+    model = toxicity.fit(told, max_rows=100)
+    assert set(model.words) == {"nasty"} and model.weights[1:] != (0.0, 0.0, 0.0)
+
+
 def test_toxicity_odd_rows(spark):
     labelled = spark.createDataFrame([("you bad idiot %d" % i, 1) for i in range(30)] + [("a fine day %d" % i, 0) for i in range(200)] + [(None, 0), ("x", None)], "text string, toxic int")
     model = toxicity.fit(labelled)
