@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -219,9 +220,42 @@ def test_passages_inside_lines_go(spark):
 def test_boundaries_resist_shifts():
     r = random.Random(1)
     text = " ".join("".join(r.choice("abcdef") for _ in range(5)) for _ in range(400)).encode()
-    a = {h for _, _, h in line_dedup.chunks_of(text, 16, 32)}
-    b = {h for _, _, h in line_dedup.chunks_of(b"some more words before it all " + text, 16, 32)}
-    assert len(a & b) > 0.8 * len(a)
+    a, b = (set(line_dedup.Chunks(t, 8, 16).hashes.tolist()) for t in (text, b"some more words before it all " + text))
+    assert len(a & b) > 0.9 * len(a) > 20
+
+
+def test_runs_against_brute_force(spark):
+    """What goes stands earlier byte by byte, and all passages of 50 words that stand earlier go to their first and last word."""
+    r = random.Random(10)
+    for vocabulary, n in ((["w%d" % k for k in range(60)], 60), (["a", "bb", "c"], 25)):
+        words = lambda k: [r.choice(vocabulary) for _ in range(k)]  # noqa: E731, B023
+        pieces = [words(r.randint(20, 160)) for _ in range(12)]
+        docs = []
+        for i in range(n):
+            w = []
+            for _ in range(r.randint(1, 4)):
+                p = r.choice(pieces)
+                a = r.randint(0, len(p) // 2)
+                w += words(r.randint(0, 30)) + p[a : a + r.randint(5, len(p))]
+            docs.append((i, "".join(x + r.choice([" "] * 60 + ["\n", "  "]) for x in w)))
+        out = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
+        earlier: dict = {}
+        for i, text in docs:  # spans of words with what stands between them, by id and place
+            spans = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+            must, may = np.zeros(len(spans), bool), np.zeros(len(spans), bool)
+            for size, mark in ((50, must), (9, may)):
+                for k in range(len(spans) - size + 1):
+                    piece = text[spans[k][0] : spans[k + size - 1][1]]
+                    if earlier.setdefault(piece, (i, k)) != (i, k):
+                        mark[k : k + size] = True
+            # what is left, read from either end, lies outside all that must go and holds all that may not
+            left = out[i].split()
+            assert len(left) <= (~must).sum() and len(left) >= (~may).sum(), i
+            needed = [text[a:b] for (a, b), m in zip(spans, may, strict=True) if not m]
+            rest = iter(left)
+            assert all(any(x == y for y in rest) for x in needed), i
+            allowed = iter(text[a:b] for (a, b), m in zip(spans, must, strict=True) if not m)
+            assert all(any(x == y for y in allowed) for x in left), i
 
 
 def test_copies_that_differ_from_the_first_in_part_go(spark):
