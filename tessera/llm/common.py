@@ -56,18 +56,22 @@ def delete(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete materialised tables that nothing will read again, and let Spark drop the shuffle files of finished queries.
+def free(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished queries.
 
     Spark frees shuffle files when the driver collects the objects that stand for them, which may be long after; asking for a
     collection keeps the disk that a chain of large shuffles needs to about one of them.
     """
+    for _ in range(2):  # what the first collection frees may hold more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read again, and free finished shuffles."""
     delete(*tables)
-    if tables:
-        for _ in range(2):  # what the first collection frees may hold more
-            gc.collect()
-            tables[0].sparkSession.sparkContext._jvm.System.gc()
-            time.sleep(0.3)
+    free(tables[0].sparkSession)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,16 +2,15 @@
 
 Passages lie inside paragraphs too, where whole lines never repeat, so lines are wrapped at every word: a line here is a word. A
 rolling hash over the hashes of the next `size` lines is taken at every place; a place is a boundary if its rolling hash is the least of
-some `window` places in a row. So boundaries hang on the lines around them alone and are the same wherever a passage stands, and
-neighbours are at most `window` places apart. A chunk reaches from a boundary to the next one and over the lines that this one was chosen by;
-a text's first and last chunk reach to its ends.
+some `window` places in a row. So boundaries hang on the lines around them alone and are the same wherever a passage stands.
+The chunks of a boundary are the windows of size + window - 1 lines in a row (16 here) whose least rolling hash is the boundary's: chunks that
+only reached from one boundary to the next would leave the passage's beginning and end, which lie inside such a chunk.
 
-Chunks whose hash occurs once are unique. All others are told apart by a digest of their exact bytes, white space included. A passage
-begins and ends inside a chunk: where chunks that are equal have different neighbours, the stretches that go on from their boundaries by one line,
-two, and so on up to window - 1, are digested as well. A stretch that occurs at a smaller (id, place) is repeated, whichever of its
-occurrences it equals. So every passage of size + 2 * window - 1 lines or more that stands at a smaller (id, place) is found to its first and
-last line, and no length in bytes limits a line, a chunk or a passage. Repeated stretches that touch or overlap in
-a document are one run; runs of at least `min_words` lines in all go, shorter ones stay.
+Texts that are equal, byte by byte, are one: all but that with the smallest id are repeated as a whole. Of the others, boundaries whose
+hash occurs once are unique. All chunks of the rest are told apart by a digest of their exact bytes, white space included, and each that
+occurs at a smaller (id, place) is repeated, whichever of its occurrences it equals. So copies that differ from the first in part
+are found as well, to the first and last line, and no length in bytes limits a line, a chunk or a passage.
+Repeated chunks that touch or overlap in a document are one run; those of at least `min_words` lines in all go, shorter ones stay.
 
 Every removed byte equals one at a smaller (id, place), so of all that is equal the first stays; of a text that repeats itself at
 once, its first period.
@@ -26,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, map_arrow, materialise
-from tessera.llm.minhash import M1, mix
+from tessera.llm.common import delete, discard, free, map_arrow, materialise
+from tessera.llm.minhash import M1, mix, text_key
 
 #: Rows of a batch whose rows may hold whole texts twice.
 LONG_ROWS = 64
@@ -51,32 +50,20 @@ def powers() -> list[np.ndarray]:
     return _powers
 
 
-class SpanHashes:
-    """Hashes of a text's spans, of exact bytes, by differences of prefix sums; sums are of a block of bytes at a time. Of a span over BLOCK bytes, its first ones count."""
-
-    def __init__(self, raw: np.ndarray):
-        self.raw = raw
-        self.whole = self.sums(0, len(raw)) if len(raw) <= BLOCK else None
-
-    def sums(self, a: int, b: int) -> np.ndarray:
-        out = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(VALUES[self.raw[a:b]] * powers()[0][: b - a], out=out[1:])
-        return out
-
-    def __call__(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """starts and stops both ascend."""
-        down = powers()[1]
-        if self.whole is not None:
-            return mix((self.whole[stops] - self.whole[starts]) * down[starts] + (stops - starts).astype(np.uint64) * M1)
-        out, k = np.empty(len(starts), np.uint64), 0
-        while k < len(starts):
-            base = int(starts[k])
-            end = max(k + 1, int(np.searchsorted(stops, base + BLOCK, side="right")))
-            sums = self.sums(base, min(int(stops[end - 1]), base + BLOCK))
-            a, b = starts[k:end] - base, np.minimum(stops[k:end] - base, len(sums) - 1)
-            out[k:end] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * M1)
-            k = end
-        return out
+def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of each word by differences of prefix sums, a block of bytes at a time; of a word over BLOCK bytes, of its first ones."""
+    up, down = powers()
+    out, k = np.empty(len(starts), np.uint64), 0
+    while k < len(starts):
+        base = int(starts[k])
+        end = max(k + 1, int(np.searchsorted(stops, base + BLOCK, side="right")))
+        part = raw[base : min(int(stops[end - 1]), base + BLOCK)]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(VALUES[part] * up[: len(part)], out=sums[1:])
+        a, b = starts[k:end] - base, np.minimum(stops[k:end] - base, len(part))
+        out[k:end] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * M1)
+        k = end
+    return out
 
 
 def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -89,24 +76,23 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def lines_of(text: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, SpanHashes]:
-    """Starts and ends of the lines (words), in bytes, the rolling hash of the size lines from each place (none where there are fewer), and the text's span hashes."""
+def places(text: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, in bytes, and the rolling hash of the size words from each place; no hash where there are fewer words."""
     raw = np.frombuffer(text, np.uint8)
     solid = np.zeros(len(raw) + 2, bool)
     solid[1:-1] = ~SPACE_BYTES[raw]
     turns = np.flatnonzero(solid[1:] != solid[:-1])
     starts, stops = turns[::2], turns[1::2]
     n = len(starts) - size + 1
-    hashes = SpanHashes(raw)
     if n < 1:
-        return starts, stops, np.empty(0, np.uint64), hashes
-    w = hashes(starts, stops)
+        return starts, stops, np.empty(0, np.uint64)
+    w = word_hashes(raw, starts, stops)
     rolled = np.zeros(n, np.uint64)
     factor = 1
     for k in range(size):
         rolled += w[k : k + n] * np.uint64(factor)
         factor = factor * BASE & 0xFFFFFFFFFFFFFFFF
-    return starts, stops, mix(rolled), hashes
+    return starts, stops, mix(rolled)
 
 
 def least_of(rolled: np.ndarray, window: int) -> np.ndarray:
@@ -118,81 +104,86 @@ def least_of(rolled: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(sliding(padded, wide, np.maximum) == rolled)
 
 
-class Chunks:
-    """The chunks of a text, its beginning and end included: first lines, lines after, starts and ends in bytes, and hashes."""
-
-    def __init__(self, text: bytes, size: int, window: int):
-        self.lines, self.stops, rolled, hashes = lines_of(text, size)
-        if len(rolled):
-            self.first = np.union1d(0, least_of(rolled, window))
-            self.after = np.append(self.first[1:] + size, len(self.lines))
-            if len(self.first) > 1 and self.first[-1] + size == len(self.lines):  # nothing follows the last boundary's own lines
-                self.first, self.after = self.first[:-1], self.after[:-1]
-        else:
-            self.first = self.after = np.empty(0, np.int64)
-        self.starts, self.ends = self.lines[self.first], self.stops[self.after - 1]
-        self.hashes = hashes(self.starts, self.ends).view(np.int64)
-
-    def neighbours(self) -> tuple[np.ndarray, np.ndarray]:
-        """Short hashes of the chunk before and after each; 0 at the ends of the text."""
-        short = (self.hashes >> 32).astype(np.int32)
-        edge = np.zeros(1 if len(short) else 0, np.int32)
-        return np.concatenate([edge, short[:-1]]), np.concatenate([short[1:], edge])
-
-    def stretches(self, wanted: np.ndarray, left: np.ndarray, right: np.ndarray, size: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends, in bytes, of the wanted chunks (by hash) and of what goes on from the boundaries: to the left of those in left, to the right of those in right."""
-        at = np.isin(self.hashes, wanted)
-        more = np.arange(1, window)
-        a, x = (m.ravel() for m in np.broadcast_arrays(self.first[np.isin(self.hashes, left)][:, None], more))
-        b, y = (m.ravel() for m in np.broadcast_arrays(self.after[np.isin(self.hashes, right)][:, None], more))
-        a, x, b, y = a[a >= x], x[a >= x], b[b + y <= len(self.lines)], y[b + y <= len(self.lines)]
-        starts = self.starts[at], self.lines[a - x], self.lines[b - size]
-        ends = self.ends[at], self.stops[a + size - 1], self.stops[b + y - 1]
-        return np.concatenate(starts), np.concatenate(ends)
-
-
-def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 8, window: int = 16) -> DataFrame:
-    """(d, t, s, e) of chunks, and of stretches around their boundaries, that stand at a smaller (id, place) too, in bytes of the UTF-8 text; t is a hash of the text."""
+def hashes_of(text: bytes, size: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The boundaries' hashes, and at how many places each is."""
+    rolled = places(text, size)[2]
+    if len(rolled) < window:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.unique(rolled[least_of(rolled, window)].view(np.int64), return_counts=True)
+
+
+def windows_of(text: bytes, wanted: np.ndarray, size: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, digests) of the windows of size + window - 1 words whose least rolling hash is wanted; digests, of 128 bits, of their bytes."""
+    starts, stops, rolled = places(text, size)
+    if len(rolled) < window:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2), np.int64)
+    at = np.flatnonzero(np.isin(sliding(rolled, window, np.minimum), wanted))
+    s, e = starts[at], stops[at + size + window - 2]
+    view = memoryview(text)
+    digests = b"".join(blake2b(view[a:b], digest_size=16).digest() for a, b in zip(s.tolist(), e.tolist(), strict=True))
+    return s, e, np.frombuffer(digests, np.int64).reshape(-1, 2)
+
+
+def distinct_texts(chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts, copies) of chosen (d, t, text): texts (d, t, u) numbered in order of (d, t), and copies (d, t, e) of texts that stand, byte by byte, at a smaller id; e is their size in bytes."""
+    keyed = materialise(chosen.select("d", "t", text_key("text").alias("key"), F.octet_length("text").alias("e")).distinct(), "keyed")
+    firsts = materialise(keyed.groupBy("key").agg(F.min("d").alias("fd"), F.max("d").alias("other")).where("fd < other").select("key", "fd"), "copied")
+    marked = materialise(keyed.join(firsts, "key", "left").select("d", "t", "e", F.coalesce(F.col("d") > F.col("fd"), F.lit(False)).alias("copy")), "marked")
+    texts = materialise(marked.where("not copy").select("d", "t").orderBy("d", "t").withColumn("u", F.monotonically_increasing_id()), "texts")
+    delete(keyed, firsts)
+    return texts, marked.where("copy").select("d", "t", "e")
+
+
+def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 16) -> DataFrame:
+    """(d, t, spans): of every text its chunks of width lines, or the text as a whole, that stand at a smaller (id, place) too; t is a hash of the text, a span start << 32 | end in bytes of its UTF-8."""
+    size = (width + 1) // 2
+    window = width - size + 1
     text = F.col(text_col).cast("string")
     chosen = docs.where(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
 
     def cut_up(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [Chunks(text.encode("utf-8", "surrogatepass"), size, window) for text in batch.column(1).to_pylist()]
-        owner = pa.array(np.repeat(np.arange(len(found)), [len(c.hashes) for c in found]))
-        sides = [c.neighbours() for c in found]
-        columns = ([c.hashes for c in found], *zip(*sides, strict=True))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(owner), *(pa.array(np.concatenate(x)) for x in columns)], ["d", "h", "before", "after"])
-
-    chunks = materialise(map_arrow(chosen.select("d", "text"), cut_up, "d long, h long, before int, after int"), "chunks")
-    # sums by hash are written before they are joined, so that the joins are shuffles of their own, whose hot hashes Spark splits
-    sums = chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("before", "after") for f in (F.min, F.max)))
-    repeated = materialise(sums.where("n > 1").select("h", F.expr("min_before <> max_before").alias("left"), F.expr("min_after <> max_after").alias("right")), "repeated")
-    wanted = materialise(chunks.select("d", "h").join(repeated, "h"), "wanted")
-    discard(chunks, repeated)
-    by_doc = wanted.groupBy("d").agg(F.collect_set("h").alias("wanted"), F.collect_set(F.when(F.col("left"), F.col("h"))).alias("left"), F.collect_set(F.when(F.col("right"), F.col("h"))).alias("right"))  # no more than the document's own chunks
+        found = [hashes_of(text.encode("utf-8", "surrogatepass"), size, window) for text in batch.column(2).to_pylist()]
+        # a boundary that stands in a text more than once counts as one of another text too
+        hashes = [np.concatenate([h, h[n > 1]]) for h, n in found]
+        other = np.concatenate([np.arange(len(x)) >= len(h) for x, (h, _) in zip(hashes, found, strict=True)])
+        owner = np.repeat(np.arange(len(found)), [len(x) for x in hashes])
+        t = batch.column(1).to_numpy()[owner] ^ other
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(t), pa.array(np.concatenate(hashes))], ["d", "t", "h"])
+
+    boundaries = materialise(map_arrow(chosen, cut_up, "d long, t long, h long"), "boundaries")
+    # hashes of several texts; written before they are joined, so that the joins are shuffles of their own, whose hot hashes Spark splits
+    repeated = materialise(boundaries.groupBy("h").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low < high").select("h"), "repeated")
+    free(docs.sparkSession)
+    wanted = materialise(boundaries.select("d", "h").join(repeated, "h"), "wanted")
+    discard(boundaries, repeated)
+    by_doc = wanted.groupBy("d").agg(F.collect_set("h").alias("wanted"))  # no more than the document's own boundaries
+    texts, copies = distinct_texts(chosen)
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        owners, parts, digests = [], [], []
-        for k, (text, *lists) in enumerate(zip(*batch.columns[2:], strict=True)):
-            raw = text.as_py().encode("utf-8", "surrogatepass")
-            s, e = Chunks(raw, size, window).stretches(*(x.values.to_numpy() for x in lists), size, window)
-            view = memoryview(raw)
-            digests += [blake2b(view[a:b], digest_size=16).digest() for a, b in zip(s.tolist(), e.tolist(), strict=True)]
+        spans, keys, own, owners = [], [], [], []
+        for k, (text, hashes) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+            s, e, digests = windows_of(text.as_py().encode("utf-8", "surrogatepass"), hashes.values.to_numpy().view(np.uint64), size, window)
+            again = np.ones(len(s), bool)
+            again[np.unique(digests, axis=0, return_index=True)[1]] = False  # the first place of each
+            spans.append(s << 32 | e)
+            keys.append(digests)
+            own.append(again)
             owners.append(np.full(len(s), k))
-            parts.append((s, e))
-        owner = pa.array(np.concatenate(owners))
-        s, e = (pa.array(np.concatenate(x).astype(np.int32)) for x in zip(*parts, strict=True))
-        keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), s, e, pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy())], ["d", "t", "s", "e", "k", "l"])
-
-    held = chosen.join(by_doc, "d").select("d", "t", "text", "wanted", "left", "right")
-    stretches = materialise(map_arrow(held, digest, "d long, t long, s int, e int, k long, l long"), "stretches", LONG_ROWS)
+        key = np.concatenate(keys)
+        columns = [batch.column(0).take(pa.array(np.concatenate(owners))), *(pa.array(x) for x in (np.concatenate(spans), key[:, 0].copy(), key[:, 1].copy(), np.concatenate(own)))]
+        return pa.RecordBatch.from_arrays(columns, ["u", "span", "k", "l", "own"])
+
+    held = chosen.join(by_doc, "d").join(texts, ["d", "t"]).select("u", "text", "wanted")
+    chunks = materialise(map_arrow(held, digest, "u long, span long, k long, l long, own boolean"), "chunks", LONG_ROWS)
     discard(wanted)
-    firsts = stretches.groupBy("k", "l").agg(F.min(F.struct("d", "s", "t")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = materialise(firsts.select("k", "l", F.col("f.d").alias("fd"), F.col("f.s").alias("fs"), F.col("f.t").alias("ft")), "firsts")
-    found = materialise(stretches.join(firsts, ["k", "l"]).where("d <> fd or t <> ft or s <> fs").select("d", "t", "s", "e"), "found")
-    discard(stretches, firsts)
-    return found
+    one = chunks.where("not own").drop("own")
+    firsts = materialise(one.groupBy("k", "l").agg(F.min("u").alias("first"), F.max("u").alias("last")).where("first < last").select("k", "l", "first"), "firsts")
+    free(docs.sparkSession)
+    across = materialise(one.join(firsts, ["k", "l"]).where("u > first").select("u", "span"), "across")
+    spans = across.unionByName(chunks.where("own").select("u", "span")).groupBy("u").agg(F.collect_list("span").alias("spans"))
+    found = materialise(spans.join(texts, "u").select("d", "t", "spans"), "found")
+    discard(chunks, firsts, across, texts)
+    return found.unionByName(copies.select("d", "t", F.array(F.col("e").cast("long")).alias("spans")))
 
 
 def remove(text: bytes, starts: np.ndarray, ends: np.ndarray, min_words: int) -> tuple[bytes, int]:
@@ -222,33 +213,29 @@ def remove(text: bytes, starts: np.ndarray, ends: np.ndarray, min_words: int) ->
     return out, len(text) - len(out)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, size: int = 8, window: int = 16) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, width: int = 16) -> DataFrame:
     """docs with repeated passages removed from text_col, and one more column, n_removed (UTF-8 bytes removed, long).
 
     Ids are taken as long numbers; ones that are none count as null.
-
     A text that consists of repeated passages becomes empty; rows are never dropped. Null texts stay null. Rows that
-    share an id count as one document; rows without an id stay as they are. An empty table gives an empty one. Other columns
+    share an id are told apart by their texts and those that agree in both are one document; rows without an id stay as they are. An empty table gives an empty one. Other columns
     pass through under their names, except that an n_removed of the input is replaced.
     """
-    if size + 2 * window - 1 > min_words:
-        raise ValueError("passages of min_words might hold no chunk: size and window are too large for them")
     docs = docs.drop("n_removed")
-    found = repeated_stretches(docs, id_col, text_col, size, window)
-    by_doc = found.groupBy("d", "t").agg(F.collect_list("s").alias("__s"), F.collect_list("e").alias("__e"))
+    found = repeated_chunks(docs, id_col, text_col, min(width, min_words))
     names = docs.columns
     same = (F.col(id_col).cast("long") == F.col("__d")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__t"))
-    joined = docs.join(by_doc.withColumnsRenamed({"d": "__d", "t": "__t"}), same, "left").drop("__d", "__t")
+    joined = docs.join(found.withColumnsRenamed({"d": "__d", "t": "__t", "spans": "__spans"}), same, "left").drop("__d", "__t")
     at = names.index(text_col)
 
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, removed = [], []
-        for text, s, e in zip(batch.column(at).to_pylist(), batch.column(len(names)), batch.column(len(names) + 1), strict=True):
-            if text is None or not s.is_valid:
+        for text, spans in zip(batch.column(at).to_pylist(), batch.column(len(names)), strict=True):
+            if text is None or not spans.is_valid:
                 texts.append(text)
                 removed.append(0)
             else:
-                out, n = remove(text.encode("utf-8", "surrogatepass"), s.values.to_numpy(), e.values.to_numpy(), min_words)
+                out, n = remove(text.encode("utf-8", "surrogatepass"), (both := spans.values.to_numpy()) >> 32, both & 0xFFFFFFFF, min_words)
                 texts.append(out.decode("utf-8", "replace"))
                 removed.append(n)
         columns = batch.columns[: len(names)]
