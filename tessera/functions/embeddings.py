@@ -1,75 +1,80 @@
 """Deterministic hashed embeddings, in sparse form: rows (id, idx, w) of unit vectors.
 
-Hashes are computed once for each distinct word and joined to the documents' word counts, so the per-character work
-grows with the vocabulary and not with the corpus.
+A text's words are cut by column expressions; one pass in Arrow batches turns them into its vector, so nothing is shuffled. What a word
+adds is computed once a task and kept.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a batch whose words are Python objects at a time, and words whose features a task keeps.
+SLICE, KEPT = 256, 200_000
+LOW = 0xFFFFFFFF
 
-def codes(word: Column) -> Column:
-    """Code points of a word's characters."""
-    return F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
 
+def signed32(h: int) -> int:
+    return h - (1 << 32) if h >= 1 << 31 else h
 
-def uint32(x: Column) -> Column:
-    return x.bitwiseAND(F.lit(0xFFFFFFFF))
 
+def hash31(word: str) -> int:
+    """31 h + c in 32 signed bits."""
+    h = 0
+    for c in map(ord, word):
+        h = h * 31 + c & LOW
+    return signed32(h)
 
-def int32(x: Column) -> Column:
-    low = uint32(x)
-    return F.when(low >= 1 << 31, low - (1 << 32)).otherwise(low)
 
+def hash33(word: str) -> int:
+    """33 h xor c in 32 signed bits, from 5381."""
+    h = 5381
+    for c in map(ord, word):
+        h = (h * 33 ^ c) & LOW
+    return signed32(h)
 
-def rolled(word: Column, start: int, step) -> Column:
-    return F.aggregate(codes(word), F.lit(start).cast("long"), step)
 
+def hash_mul(word: str, factor: int) -> int:
+    h = 0
+    for c in map(ord, word):
+        h = h * factor + c & LOW
+    return h
 
-#: 31 h + c in 32 signed bits.
-def hash31(word: Column) -> Column:
-    return rolled(word, 0, lambda h, c: int32(h * 31 + c))
 
+def fnv1a(word: str) -> int:
+    """FNV-1a of 32 bits."""
+    h = 2166136261
+    for c in map(ord, word):
+        h = (h ^ c) * 16777619 & LOW
+    return h
 
-#: 33 h xor c in 32 signed bits, from 5381.
-def hash33(word: Column) -> Column:
-    return rolled(word, 5381, lambda h, c: int32((h * 33).bitwiseXOR(c)))
 
+def trigrams(word: str) -> list[str]:
+    return [word[i : i + 3] for i in range(len(word) - 2)]
 
-def hash_mul(word: Column, factor: int) -> Column:
-    return rolled(word, 0, lambda h, c: uint32(h * factor + c))
 
-
-#: FNV-1a of 32 bits.
-def fnv1a(word: Column) -> Column:
-    return rolled(word, 2166136261, lambda h, c: uint32(h.bitwiseXOR(c) * 16777619))
-
-
-def trigrams(word: Column) -> Column:
-    n = F.length(word)
-    return F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(word, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
-
-
-def entry(index: Column, weight: Column) -> Column:
-    return F.struct(index.cast("long").alias("idx"), weight.cast("double").alias("w"))
-
-
-def signed(h: Column, weight: float) -> Column:
-    return F.when(h % 2 == 0, F.lit(weight)).otherwise(F.lit(-weight))
+def signed(h: int, weight: float) -> float:
+    return weight if h % 2 == 0 else -weight
 
 
 @dataclass(frozen=True)
 class Scheme:
-    """How words are cut and hashed: `words` gives a text's words, `of_word` a word's features; zero says where the weight of an empty text goes."""
+    """How words are cut and hashed: `words` is a text's words as a column, `of_word` a word's features (index, weight), `of_pair` those of two neighbours joined by _,
+    `length` the weight of the text's length; zero says where the weight of a text without words goes."""
 
     dim: int
-    words: object
-    of_word: object
+    words: Callable[[Column], Column]
+    of_word: Callable[[str], list[tuple[int, float]]]
     zero: int | None = None
+    of_pair: Callable[[str], list[tuple[int, float]]] | None = None
+    length: float = 0.0
 
 
 def only_plain(text: Column) -> Column:
@@ -85,89 +90,96 @@ def at_nonword(text: Column) -> Column:
 
 
 def token_scheme(dim: int = 64) -> Scheme:
-    return Scheme(dim, only_plain, lambda w: F.array(entry(F.abs(hash31(w)) % dim, F.lit(1.0))), zero=0)
+    return Scheme(dim, only_plain, lambda w: [(abs(hash31(w)) % dim, 1.0)], zero=0)
 
 
 def signed_scheme(dim: int = 128) -> Scheme:
-    def of_word(w: Column) -> Column:
-        h = hash33(w)
-        return F.concat(F.array(entry(F.abs(h) % dim, signed(h, 2.0))), F.transform(F.transform(trigrams(w), hash33), lambda t: entry(F.abs(t) % dim, signed(t, 0.5))))
+    def of_word(w: str) -> list[tuple[int, float]]:
+        return [(abs(h) % dim, signed(h, weight)) for h, weight in [(hash33(w), 2.0), *((hash33(t), 0.5) for t in trigrams(w))]]
 
     return Scheme(dim, only_plain, of_word)
 
 
 def bigram_scheme(dim: int = 64) -> Scheme:
-    """Words by themselves; `embed` adds pairs of neighbours for schemes that have `pairs`."""
-    return PairScheme(dim, at_nonword, lambda w: F.array(entry(hash_mul(w, 31) % dim, 1.0 + (F.length(w) % 5) * 0.1)), zero=0, pairs=lambda p: F.array(entry(hash_mul(p, 17) % dim, F.lit(0.5))))
-
-
-@dataclass(frozen=True)
-class PairScheme(Scheme):
-    pairs: object = None
+    """Words and pairs of neighbours."""
+    return Scheme(dim, at_nonword, lambda w: [(hash_mul(w, 31) % dim, 1.0 + len(w) % 5 * 0.1)], zero=0, of_pair=lambda p: [(hash_mul(p, 17) % dim, 0.5)])
 
 
 def neighbour_scheme(dim: int = 1536) -> Scheme:
     """Weights are relative, as vectors are normalised."""
 
-    def of_word(w: Column) -> Column:
-        i = F.abs(hash31(w)) % dim
-        return F.array(entry(i, F.lit(1.0)), entry((i + 137) % dim, F.lit(0.5)))
+    def of_word(w: str) -> list[tuple[int, float]]:
+        i = abs(hash31(w)) % dim
+        return [(i, 1.0), ((i + 137) % dim, 0.5)]
 
     return Scheme(dim, only_word, of_word)
 
 
 def fnv_scheme(dim: int = 1536) -> Scheme:
-    def of_word(w: Column) -> Column:
-        h = fnv1a(w)
-        return F.concat(F.array(entry(h % dim, signed(h, 1.0))), F.transform(F.transform(trigrams(w), fnv1a), lambda t: entry(t % dim, signed(t, 0.5))))
+    def of_word(w: str) -> list[tuple[int, float]]:
+        return [(h % dim, signed(h, weight)) for h, weight in [(fnv1a(w), 1.0), *((fnv1a(t), 0.5) for t in trigrams(w))]]
 
     return Scheme(dim, at_nonword, of_word)
 
 
 def char_scheme(dim: int = 128) -> Scheme:
-    """Characters by place and character pairs; `embed` adds the text's length for schemes with `length`."""
+    """Characters by place and character pairs, and the text's length."""
 
-    def of_word(w: Column) -> Column:
-        c = codes(w)
-        n = F.size(c)
-        single = F.transform(c, lambda x, i: entry((x * 31 + i * 17) % dim, 1 / F.log2(n + 2)))
-        pairs = F.when(n >= 2, F.zip_with(F.slice(c, F.lit(1), n - 1), F.slice(c, F.lit(2), n - 1), lambda a, b: entry((a * 101 + b * 37) % dim, F.lit(0.5)))).otherwise(F.array().cast("array<struct<idx:bigint,w:double>>"))
-        return F.concat(single, pairs)
+    def of_word(w: str) -> list[tuple[int, float]]:
+        c = list(map(ord, w))
+        return [((x * 31 + i * 17) % dim, 1 / math.log2(len(c) + 2)) for i, x in enumerate(c)] + [((a * 101 + b * 37) % dim, 0.5) for a, b in zip(c, c[1:], strict=False)]
 
-    return LengthScheme(dim, only_word, of_word)
+    return Scheme(dim, only_word, of_word, length=0.25)
 
 
-@dataclass(frozen=True)
-class LengthScheme(Scheme):
-    weight: float = 0.25
+SCHEMES = {"token": token_scheme, "signed": signed_scheme, "bigram": bigram_scheme, "neighbour": neighbour_scheme, "char": char_scheme, "fnv": fnv_scheme}
 
 
-SCHEMES = {"token": token_scheme, "signed": signed_scheme, "bigram": bigram_scheme, "neighbour": neighbour_scheme, "char": char_scheme, "fnv": fnv_scheme}
+class Features(dict):
+    """Word -> arrays of indexes and weights; emptied when full."""
+
+    def __init__(self, of: Callable[[str], list[tuple[int, float]]]):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) >= KEPT:
+            self.clear()
+        found = self.of(word)
+        made = self[word] = (np.array([i for i, _ in found], np.int64), np.array([w for _, w in found], np.float64))
+        return made
+
+
+def unit_vector(words: list[str], length: int, scheme: Scheme, features: Features, pairs: Features | None) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes and weights of a text's unit vector, without its zeros."""
+    parts = [(features[w], k) for w, k in Counter(words).items()]
+    if pairs is not None:
+        parts += [(pairs[p], k) for p, k in Counter(f"{a}_{b}" for a, b in zip(words, words[1:], strict=False)).items()]
+    if scheme.length:
+        parts.append(((np.array([length * 13 % scheme.dim]), np.array([scheme.length])), 1))
+    if not parts:
+        return (np.array([scheme.zero]), np.array([1.0])) if scheme.zero is not None else (np.empty(0, np.int64), np.empty(0))
+    v = np.bincount(np.concatenate([i for (i, _), _ in parts]), np.concatenate([w * k for (_, w), k in parts]), scheme.dim)
+    at = np.flatnonzero(v)
+    return at, v[at] / math.sqrt(float(v @ v)) if len(at) else v[at]
 
 
 def embed(df: DataFrame, id_col: str, text_col: str, scheme: Scheme) -> DataFrame:
-    """Rows (id, idx, w) of each text's unit vector without its zeros. Texts without features have no rows, or one at scheme.zero. Null counts as empty."""
-    texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lists = texts.select("id", scheme.words(F.col("text")).alias("words"), F.length("text").alias("n"))
-
-    def spread(pieces: DataFrame, of_piece) -> DataFrame:
-        counted = pieces.groupBy("id", "piece").agg(F.count(F.lit(1)).alias("k"))
-        hashed = counted.select("piece").distinct().select("piece", F.explode(of_piece(F.col("piece"))).alias("e")).groupBy("piece", "e.idx").agg(F.sum("e.w").alias("w"))
-        return counted.join(hashed, "piece").select("id", "idx", (F.col("k") * F.col("w")).alias("w"))
-
-    parts = spread(lists.select("id", F.explode("words").alias("piece")), scheme.of_word)
-    if isinstance(scheme, PairScheme):
-        n = F.size("words")
-        neighbours = F.when(n > 1, F.zip_with(F.slice("words", F.lit(1), n - 1), F.slice("words", F.lit(2), n - 1), lambda a, b: F.concat_ws("_", a, b))).otherwise(F.array().cast("array<string>"))
-        parts = parts.unionByName(spread(lists.select("id", F.explode(neighbours).alias("piece")), scheme.pairs))
-    if isinstance(scheme, LengthScheme):
-        parts = parts.unionByName(lists.select("id", ((F.col("n") * 13) % scheme.dim).cast("long").alias("idx"), F.lit(scheme.weight).alias("w")))
-    summed = parts.groupBy("id", "idx").agg(F.sum("w").alias("w")).where("w <> 0")
-    lengths = summed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = summed.join(lengths, "id").select("id", F.col("idx").cast("int").alias("idx"), (F.col("w") / F.col("norm")).alias("w"))
-    if scheme.zero is not None:
-        unit = unit.unionByName(lists.where(F.size("words") == 0).select("id", F.lit(scheme.zero).alias("idx"), F.lit(1.0).alias("w")))
-    return unit.withColumnRenamed("id", id_col)
+    """Rows (id, idx, w) of each text's unit vector without its zeros. Texts without features have no rows, or one at scheme.zero. Null counts as empty; rows that share an id are texts of their own."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, pairs = Features(scheme.of_word), Features(scheme.of_pair) if scheme.of_pair else None
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                ids, words, lengths = batch.slice(start, SLICE).columns
+                made = [unit_vector(w, n, scheme, features, pairs) for w, n in zip(words.to_pylist(), lengths.to_pylist(), strict=True)]
+                owner = pa.array(np.repeat(np.arange(len(made)), [len(i) for i, _ in made]))
+                idx, w = (np.concatenate(x) for x in zip(*made, strict=True))
+                yield pa.RecordBatch.from_arrays([ids.take(owner), pa.array(idx.astype(np.int32)), pa.array(w.astype(np.float64))], [id_col, "idx", "w"])
+
+    cut = df.select(F.col(id_col), scheme.words(text).alias("words"), F.length(text).alias("n"))
+    return cut.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, idx int, w double")
 
 
 def to_dense(sparse: DataFrame, id_col: str, dim: int) -> DataFrame:

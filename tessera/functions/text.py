@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The English stop words of the standard analyser (contractions included, though no token can be one).
@@ -63,37 +64,65 @@ def compact_tokens(text: Column, stop: Iterable[str] = COMPACT_STOP_WORDS) -> Co
     return F.filter(lowered, lambda w: w.rlike("[0-9_-]") | ~w.isin(*stop))
 
 
-def technical_parts(raw: Column) -> Column:
+def technical_parts(raw: str) -> list[str]:
     """A technical token's terms in order: itself, then its camel-case parts, then its delimited parts (those that differ from it)."""
-    low = F.lower(raw)
-    camel = F.split(F.regexp_replace(raw, "([a-z0-9])([A-Z])", "$1 $2"), " ")
-    parts = nonempty(F.split(raw, "[-_./:]+"))
-    other = lambda words: F.filter(words, lambda w: (w != "") & (F.lower(w) != low))
-    none = F.array().cast("array<string>")
-    return F.concat(F.array(raw), F.when(F.size(camel) > 1, other(camel)).otherwise(none), F.when(raw.rlike("[-_./:]") & (F.size(parts) > 1), other(parts)).otherwise(none))
+    camel = re.sub("([a-z0-9])([A-Z])", r"\1 \2", raw).split(" ")
+    parts = [p for p in re.split("[-_./:]+", raw) if p]
+    other = lambda words: [w for w in words if w and w.lower() != raw.lower()]
+    return [raw, *(other(camel) if len(camel) > 1 else []), *(other(parts) if len(parts) > 1 else [])]
+
+
+def placed_tokens(text: str, kind: str) -> Iterator[tuple[str, int, int]]:
+    """(raw term, start, end) of a text's tokens in order."""
+    for m in PATTERNS[kind].finditer(text):
+        raw, start, end = m[0], m.start(), m.end()
+        if kind == "simple":  # the stripped core's own offsets
+            core = SURROUNDINGS.sub("", raw)
+            start += len(raw) - len(LEADING.sub("", raw))
+            if core:
+                yield core, start, start + len(core)
+        else:
+            for term in technical_parts(raw) if kind == "technical" else (raw,):
+                yield term, start, end
+
+
+PATTERNS = {"standard": re.compile(STANDARD), "technical": re.compile(TECHNICAL), "simple": re.compile(r"\S+", re.ASCII)}
+SURROUNDINGS, LEADING = re.compile(r"^\W+|\W+$", re.ASCII), re.compile(r"^\W+", re.ASCII)
+#: Tokens of a batch that leaves Python.
+TOKENS = 50_000
 
 
 def tokenize(df: DataFrame, id_col: str, text_col: str, kind: str = "standard") -> DataFrame:
     """Rows (id, pos, term, raw_term, start_off, end_off) of every token: kind standard, technical or simple. Offsets in characters, end exclusive.
 
-    Null and empty texts give no rows. Sub-tokens of a technical token have its offsets and positions of their own.
+    Null and empty texts give no rows. Sub-tokens of a technical token have its offsets and positions of their own. Texts are walked in Arrow
+    batches, each row by itself, so nothing is shuffled and rows that share an id keep positions of their own.
     """
-    pattern = {"standard": STANDARD, "technical": TECHNICAL, "simple": r"\S+"}[kind]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    both = df.select(F.col(id_col).alias("__id"), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("w"), F.split(text, pattern, -1).alias("g"))
-    rows = both.select("__id", F.posexplode(F.zip_with("w", F.slice("g", F.lit(1), F.size("w")), lambda w, g: F.struct(w.alias("w"), F.length(g).alias("g")))).alias("k", "x")).select("__id", "k", "x.w", "x.g")
-    before = Window.partitionBy("__id").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.withColumn("end_off", F.sum(F.length("w") + F.col("g")).over(before)).withColumn("start_off", F.col("end_off") - F.length("w"))
-    if kind == "simple":  # the stripped core's own offsets
-        core = F.regexp_replace("w", r"^\W+|\W+$", "")
-        placed = placed.withColumn("lead", F.length("w") - F.length(F.regexp_replace("w", r"^\W+", ""))).withColumn("w", core).where("w <> ''").withColumn("start_off", F.col("start_off") + F.col("lead")).withColumn("end_off", F.col("start_off") + F.length("w"))
-        parts = placed.withColumn("t", F.col("w")).withColumn("j", F.lit(0))
-    elif kind == "technical":
-        parts = placed.select("*", F.posexplode(technical_parts(F.col("w"))).alias("j", "t"))
-    else:
-        parts = placed.withColumn("t", F.col("w")).withColumn("j", F.lit(0))
-    pos = F.row_number().over(Window.partitionBy("__id").orderBy("k", "j")) - 1
-    return parts.select(F.col("__id").alias(id_col), pos.alias("pos"), F.lower("t").alias("term"), F.col("t").alias("raw_term"), F.col("start_off").cast("int").alias("start_off"), F.col("end_off").cast("int").alias("end_off"))
+    kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, rows = [], []
+
+            def flush(batch=batch, owners=owners, rows=rows) -> pa.RecordBatch:
+                out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners, pa.int64())), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], [id_col, "pos", "raw_term", "start_off", "end_off"])
+                owners.clear()
+                rows.clear()
+                return out
+
+            for k, text in enumerate(batch.column(1)):
+                for pos, (raw, start, end) in enumerate(placed_tokens(text.as_py() or "", kind)):
+                    owners.append(k)
+                    rows.append((pos, raw, start, end))
+                    if len(rows) >= TOKENS:
+                        yield flush()
+            if rows:
+                yield flush()
+
+    if kind not in PATTERNS:
+        raise ValueError(f"no such kind of tokens: {kind}")
+    found = df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, pos int, raw_term string, start_off int, end_off int")
+    return found.select(id_col, "pos", F.lower("raw_term").alias("term"), "raw_term", "start_off", "end_off")
 
 
 # The suffix rules of Porter's algorithm (1980), steps 2 to 4.

@@ -66,13 +66,24 @@ def k_hops(edges: DataFrame, starts: DataFrame, hops: int = 3) -> DataFrame:
     return reached
 
 
+def deletions(word: Column, most: int) -> Column:
+    """A word and what is left of it without up to most letters."""
+    out = F.array(word)
+    for _ in range(most):
+        less = F.transform(out, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w)))))
+        out = F.array_distinct(F.concat(out, F.flatten(less)))
+    return out
+
+
 def same_entities(names: DataFrame, most: int = 1) -> DataFrame:
-    """(name, canonical): spellings within `most` edits of an earlier one in the same block (first letter and length class), after case and punctuation go."""
+    """(name, canonical): the smallest spelling within `most` edits, after case and punctuation go.
+
+    Spellings that near share what is left of them after as many deletions, so they meet on that; nothing else is paired up.
+    """
     clean = F.trim(F.regexp_replace(F.lower("name"), r"[^\w]+", " "))
     base = names.select("name", clean.alias("c")).where("c <> ''").distinct()
-    forms = base.select("c").distinct().withColumn("block", F.substring("c", 1, 1)).withColumn("n", F.length("c"))
-    spread = forms.select(F.col("c").alias("o"), "block", F.explode(F.sequence(F.col("n") - most, F.col("n") + most)).alias("n"))
-    near = forms.join(spread, ["block", "n"]).where("o <= c").where(F.levenshtein("c", "o") <= most)
+    spread = base.select("c").distinct().select("c", F.explode(deletions(F.col("c"), most)).alias("rest"))
+    near = spread.join(spread.withColumnRenamed("c", "o"), "rest").where("o <= c").where(F.levenshtein("c", "o") <= most)
     return base.join(near.groupBy("c").agg(F.min("o").alias("canonical")), "c").select("name", "canonical")
 
 

@@ -86,11 +86,11 @@ SELECT start, 0 AS hops, count(*) AS n FROM s0 GROUP BY start UNION ALL SELECT s
 
 
 def entity_resolution(spark, d):
-    """Part names that differ in case, punctuation or one letter."""
-    return P.same_entities(load(spark, d, "nation").select(F.col("n_name").alias("name")).unionByName(load(spark, d, "region").select(F.col("r_name").alias("name"))))
+    """Parts by name and brand that differ in case, punctuation or one letter."""
+    return P.same_entities(load(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_brand").alias("name")))
 
 
-ENTITY_SQL = r"WITH b AS (SELECT DISTINCT name, trim(regexp_replace(lower(name), '[^\w]+', ' ', 'g')) AS c FROM (SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region)), n AS (SELECT x.c, min(y.c) AS canonical FROM (SELECT DISTINCT c FROM b) x JOIN (SELECT DISTINCT c FROM b) y ON y.c <= x.c AND x.c[1] = y.c[1] AND levenshtein(x.c, y.c) <= 1 GROUP BY x.c) SELECT name, canonical FROM b JOIN n USING (c)"
+ENTITY_SQL = r"WITH b AS (SELECT DISTINCT name, trim(regexp_replace(lower(name), '[^\w]+', ' ', 'g')) AS c FROM (SELECT p_name || ' ' || p_brand AS name FROM part)), n AS (SELECT x.c, min(y.c) AS canonical FROM (SELECT DISTINCT c FROM b) x JOIN (SELECT DISTINCT c FROM b) y ON y.c <= x.c AND levenshtein(x.c, y.c) <= 1 GROUP BY x.c) SELECT name, canonical FROM b JOIN n USING (c)"
 
 
 def adaptive_route(spark, d):

@@ -29,9 +29,10 @@ def dense_hits(spark, d, k: int = POOL) -> DataFrame:
     return top(dense_scores(spark, d, questions(spark)), k)
 
 
-def both(spark, d, k: int = POOL) -> DataFrame:
-    """Dense and sparse hits as one table with their source."""
-    return dense_hits(spark, d, k).withColumn("source", F.lit("dense")).unionByName(sparse_hits(spark, d, k).withColumn("source", F.lit("sparse")))
+def both(spark, d, k: int = POOL, scored: DataFrame | None = None) -> DataFrame:
+    """Dense and sparse hits as one table with their source; scored: dense scores that are used elsewhere too, so that the corpus is embedded once."""
+    dense = dense_hits(spark, d, k) if scored is None else top(scored, k)
+    return dense.withColumn("source", F.lit("dense")).unionByName(sparse_hits(spark, d, k).withColumn("source", F.lit("sparse")))
 
 
 SPARSE_SQL = f"sraw AS (SELECT query_id, chunk_id, sum({bm25_sql()}) AS score FROM m GROUP BY 1, 2)"
@@ -168,9 +169,10 @@ def passages(spark, d):
 
 def candidates(spark, d) -> DataFrame:
     """Fused candidates with question, text, title (the first line) and cosine."""
-    fused = fusion.rrf(both(spark, d), 60, top=15)
+    scored = dense_scores(spark, d, questions(spark))
+    fused = fusion.rrf(both(spark, d, scored=scored), 60, top=15)
     texts = load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.split("text", "\n")[0].alias("title"))
-    cosine = dense_scores(spark, d, questions(spark)).select("query_id", "chunk_id", F.round("score", 9).alias("cosine"))
+    cosine = scored.select("query_id", "chunk_id", F.round("score", 9).alias("cosine"))
     return fused.join(F.broadcast(questions(spark)), "query_id").join(texts, "chunk_id").join(cosine, ["query_id", "chunk_id"], "left").fillna(0.0, ["cosine"])
 
 
@@ -275,12 +277,33 @@ def benchmark_hits(spark, d, k: int = 10) -> DataFrame:
 
 
 def judged(spark, d) -> DataFrame:
-    """(query_id, chunk_id) of items and documents that share five-word runs enough to hold the item; by equal runs, so nothing is crossed."""
-    run = lambda df, key, text: df.select(F.col(key).alias(key), F.explode(F.array_distinct(runs(service_tokens(F.col(text))))).alias("run"))
-    a, b = run(load(spark, d, "benchmark"), "item_id", "text"), run(load(spark, d, "documents"), "doc_id", "text")
-    n = a.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    met = b.join(a, "run").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("k")).join(n, "item_id").where("10 * k >= 8 * n")
-    return met.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id"))
+    """(query_id, chunk_id) of items and documents that share five-word runs enough to hold the item.
+
+    Documents keep the hashes of those runs that an item has: a semi-join against the items' hashes comes before anything is shuffled. Equal hashes only propose
+    pairs; their runs are then compared word by word.
+    """
+    words = lambda table, key: load(spark, d, table).select(key, service_tokens(F.col("text")).alias("w"))
+    items, docs = words("benchmark", "item_id"), words("documents", "doc_id")
+    hashes = lambda df, key: df.select(key, F.explode(run_hashes("w")).alias("h"))
+    asked = hashes(items, "item_id").distinct()
+    enough = lambda met, of: met.join(of.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")), "item_id").where("10 * k >= 8 * n").select("item_id", "doc_id")
+    found = hashes(docs, "doc_id").join(asked.select("h").distinct(), "h", "left_semi").distinct().join(asked, "h").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("k"))
+    # runs that fall together in a hash lower the number an item needs and raise what a document has, so no pair is lost
+    pairs = enough(found, asked)
+    run = lambda df, *keys: df.select(*keys, F.explode(F.array_distinct(runs("w"))).alias("run"))
+    known = run(items, "item_id")
+    exact = run(docs.join(pairs, "doc_id"), "item_id", "doc_id").join(known, ["item_id", "run"]).groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("k"))
+    return enough(exact, known).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id"))
+
+
+def run_hashes(words, size: int = 5):
+    """A 64-bit hash of every run of size words."""
+    n = F.greatest(F.size(words) - (size - 1), F.lit(0))
+    single = F.transform(words, lambda w: F.xxhash64(w))
+    rolled = F.slice(single, F.lit(1), n)
+    for k in range(2, size + 1):
+        rolled = F.zip_with(rolled, F.slice(single, F.lit(k), n), lambda a, b: F.xxhash64(a, b))
+    return rolled
 
 
 def runs(words, size: int = 5):
