@@ -12,6 +12,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.tables import load
+
 #: Rows of a batch that are turned into Python objects at a time; bounds a worker's memory on long texts.
 SLICE = 256
 #: Rows of a batch between the JVM and Python.
@@ -75,7 +77,8 @@ def discard(*tables: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; documents and pages, if they come in fewer splits than there are cores, dealt out to all of them."""
+    return load(spark, sf_dir, name)
 
 
 def bounded(df: DataFrame) -> DataFrame:
