@@ -164,7 +164,10 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for k, (text, hashes) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
             s, e, digests = windows_of(text.as_py().encode("utf-8", "surrogatepass"), hashes.values.to_numpy().view(np.uint64), size, window)
             again = np.ones(len(s), bool)
-            again[np.unique(digests, axis=0, return_index=True)[1]] = False  # the first place of each
+            first = np.unique(digests[:, 0], return_index=True)[1]
+            if len(first) < len(s):  # half a digest may be equal by chance
+                first = np.unique(digests, axis=0, return_index=True)[1]
+            again[first] = False  # the first place of each
             spans.append(s << 32 | e)
             keys.append(digests)
             own.append(again)
