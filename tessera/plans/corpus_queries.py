@@ -99,8 +99,10 @@ def parent_child(spark, d):
 
 
 def chunk_stats(spark, d):
-    """Chunks by language, from the short texts' whole windows: counts and token estimates."""
-    return docs(spark, d).select("lang", C.token_estimate(F.col("text")).cast("long").alias("t")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("tokens"), F.max("t").alias("most"))
+    """Word windows by language: how many, their estimated tokens, and the longest."""
+    table = docs(spark, d)
+    made = C.chunk(table, "word_window").join(table.select("doc_id", "lang"), "doc_id")
+    return made.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("token_estimate").alias("tokens"), F.max("token_estimate").cast("long").alias("most"))
 
 
 def contextual_chunks(spark, d):
@@ -177,26 +179,75 @@ def stream_upsert(spark, d):
     return upserted(spark, f"{root}/sink", "doc_id")
 
 
+def last_at(separator: str, floor: str) -> str:
+    """0-based place of the last separator of text beyond floor that begins at e or before; null without one."""
+    size = len(separator)
+    sep = " || ".join("chr(10)" if c == "\n" else f"'{c}'" for c in separator)
+    seg = f"substr(text, ({floor}) + 2, e - ({floor}) + {size - 1})"
+    return f"CASE WHEN contains({seg}, {sep}) THEN ({floor}) + length({seg}) - strpos(reverse({seg}), reverse({sep})) - {size - 2} END"
+
+
+def windows_sql(cut: str, follow: str, cleaned: str = "text", whole: bool = False) -> str:
+    """CTEs up to c (doc_id, chunk_index, content): windows by recursion. cut: a window's end by its start s, its farthest end e and the text's length n;
+    follow: the next start by s, stop and the last start that gave a chunk; whole: texts that fit stay as they are."""
+    strip = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+    one = f"SELECT doc_id, text, n, s, last, CASE WHEN e >= n THEN n ELSE {cut} END AS stop FROM (SELECT *, least(s + 500, n) AS e FROM {{0}})"
+    step = f"(SELECT doc_id, text, n, {follow} AS s, last FROM (SELECT doc_id, text, n, s, stop, CASE WHEN {strip.format('substr(text, s + 1, stop - s)')} <> '' THEN s ELSE last END AS last FROM w WHERE stop < n))"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, {cleaned} AS text, length({cleaned}) AS n FROM documents WHERE {strip.format("coalesce(text, '')")} <> ''),
+w AS ({one.format(f"(SELECT doc_id, text, n, 0::BIGINT AS s, -1::BIGINT AS last FROM d{' WHERE n > 500' if whole else ''})")} UNION ALL {one.format(step)}),
+p AS (SELECT doc_id, s, {strip.format('substr(text, s + 1, stop - s)')} AS content FROM w{' UNION ALL SELECT doc_id, 0, text FROM d WHERE n <= 500' if whole else ''}),
+c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS chunk_index, content FROM p WHERE content <> '')"""
+
+
+CHUNK_SELECT = " SELECT doc_id || '_chunk_' || chunk_index AS chunk_id, doc_id, chunk_index, length(content) AS n_chars, ceil(length(content) / 4)::INT AS token_estimate, md5(content) AS content_md5 FROM c"
+WORD_WINDOWS = windows_sql(f"coalesce({last_at(' ', 's')}, e)", "greatest(stop - 50, s + 1)", whole=True)
+BACKED, BEYOND = "greatest(s, e - 150)", "s + 50"
+CHUNK_SQL = {
+    "window": windows_sql(f"coalesce({', '.join(f'{last_at(x, BACKED)} + {len(x)}' for x in (chr(10) * 2, chr(10), '. ', ' '))}, e)", "greatest(stop - 50, last + 1)") + CHUNK_SELECT,
+    "window_any": windows_sql(f"coalesce({', '.join(f'{last_at(x, BEYOND)} + {len(x)}' for x in (chr(10) * 2, chr(10), ' '))}, e)", "CASE WHEN stop - 50 > s THEN stop - 50 ELSE stop END") + CHUNK_SELECT,
+    "word_window": WORD_WINDOWS + CHUNK_SELECT,
+    "sentence_window": windows_sql(f"coalesce({last_at('. ', 's + 250')} + 1, {last_at(' ', 's')}, e)", "greatest(stop - 50, s + 1)", r"trim(regexp_replace(text, '\s+', ' ', 'g'))") + CHUNK_SELECT,
+}
+
+SIMPLE_SQL = r"""WITH a AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w, regexp_split_to_array(text, '\S+') AS g FROM documents),
+r AS (SELECT doc_id, k, w[k] AS term, length(w[k]) AS lw, length(g[k]) AS lg FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM a)),
+o AS (SELECT *, sum(lw + lg) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM r),
+c AS (SELECT doc_id, regexp_replace(term, '^\W+|\W+$', '', 'g') AS core, e - length(regexp_replace(term, '^\W+', '')) AS s FROM o)
+SELECT doc_id, count(*) AS n, count(DISTINCT lower(core)) AS distinct_terms, sum(s)::BIGINT AS starts, sum(s + length(core))::BIGINT AS ends, (count(*) - 1)::BIGINT AS last_pos FROM c WHERE core <> '' GROUP BY doc_id"""
+TECHNICAL_SQL = rf"""WITH a AS (SELECT doc_id, regexp_extract_all(text, '{X.TECHNICAL}') AS w, regexp_split_to_array(text, '{X.TECHNICAL}') AS g FROM documents),
+r AS (SELECT doc_id, k, w[k] AS term, length(w[k]) AS lw, length(g[k]) AS lg FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM a)),
+o AS (SELECT *, sum(lw + lg) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM r),
+p AS (SELECT *, string_split(regexp_replace(term, '([a-z0-9])([A-Z])', '\1 \2', 'g'), ' ') AS camel, list_filter(regexp_split_to_array(term, '[-_./:]+'), lambda x: x <> '') AS parts FROM o),
+t AS (SELECT doc_id, e, lw, unnest(list_concat([term], CASE WHEN len(camel) > 1 THEN list_filter(camel, lambda x: x <> '' AND lower(x) <> lower(term)) ELSE [] END, CASE WHEN len(parts) > 1 THEN list_filter(parts, lambda x: lower(x) <> lower(term)) ELSE [] END)) AS term FROM p)
+SELECT doc_id, count(*) AS n, count(DISTINCT lower(term)) AS distinct_terms, sum(e - lw)::BIGINT AS starts, sum(e)::BIGINT AS ends, (count(*) - 1)::BIGINT AS last_pos FROM t GROUP BY doc_id"""
+CHAR_SQL = embed_sql(r"""WITH w AS (SELECT doc_id AS id, word, count(*) AS k FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\w\s]', '', 'g'), '\s+'), lambda w: w <> '')) AS word FROM documents) GROUP BY ALL),
+v AS (SELECT word, list_transform(string_split(word, ''), lambda c: unicode(c)::BIGINT) AS c FROM (SELECT DISTINCT word FROM w)),
+f AS (SELECT word, (c[i] * 31 + (i - 1) * 17) % 128 AS idx, 1 / log2(len(c) + 2) AS u FROM (SELECT word, c, unnest(range(1, len(c) + 1)) AS i FROM v) UNION ALL SELECT word, (c[i] * 101 + c[i + 1] * 37) % 128, 0.5 FROM (SELECT word, c, unnest(range(1, len(c))) AS i FROM v)),
+x AS (SELECT word, idx, sum(u) AS u FROM f GROUP BY 1, 2),
+a AS (SELECT id, idx, k * u AS w FROM w JOIN x USING (word) UNION ALL SELECT doc_id, (length(text) * 13) % 128, 0.25 FROM documents),
+s AS (SELECT id, idx, sum(w) AS w FROM a GROUP BY 1, 2), e AS (SELECT id, idx, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM s)""")
+
+
 QUERIES = {
     "corpus_stats": (corpus_stats, "SELECT lang, count(*) AS n, count(DISTINCT source) AS sources, sum(n_chars)::BIGINT AS chars, round(avg(n_chars), 6) AS mean_chars, max(n_chars) AS longest FROM documents GROUP BY lang"),
     "corpus_rollup": (corpus_rollup, "SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ROLLUP (lang, source)"),
     "snippet_scan": (snippet_scan, "SELECT doc_id, substr(text, 1, 100) AS snippet, length(text) AS n_chars FROM documents"),
     "tok_standard": (tok_standard, offsets_sql("[a-zA-Z0-9]+")),
-    "tok_technical": (tok_technical, None),
-    "tok_simple": (tok_simple, None),
+    "tok_technical": (tok_technical, TECHNICAL_SQL),
+    "tok_simple": (tok_simple, SIMPLE_SQL),
     "tok_service": (tok_service, listed_sql(SERVICE.format("text"))),
     "tok_compact": (tok_compact, listed_sql(f"list_filter(list_transform(regexp_extract_all(text, '{X.COMPACT}'), lambda w: lower(w)), lambda w: regexp_matches(w, '[0-9_-]') OR NOT list_contains({list(X.COMPACT_STOP_WORDS)}, w))")),
     "tok_analyzed": (tok_analyzed, None),
     "stem_vocab": (stem_vocab, None),
-    **{f"chunk_{m}": (chunked(m, **o), None) for m, o in (("window", {}), ("window_any", {}), ("token_window", {}), ("separated", {}), ("recursive", {}), ("recursive_flat", {}), ("word_window", {}), ("sentence_window", {"size": 500, "overlap": 50}))},
+    **{f"chunk_{m}": (chunked(m, **o), CHUNK_SQL.get(m)) for m, o in (("window", {}), ("window_any", {}), ("token_window", {}), ("separated", {}), ("recursive", {}), ("recursive_flat", {}), ("word_window", {}), ("sentence_window", {"size": 500, "overlap": 50}))},
     "parent_child": (parent_child, None),
-    "chunk_stats": (chunk_stats, "SELECT lang, count(*) AS n, sum(t)::BIGINT AS tokens, max(t) AS most FROM (SELECT lang, ceil(length(text) / 4)::BIGINT AS t FROM documents) GROUP BY lang"),
+    "chunk_stats": (chunk_stats, WORD_WINDOWS + " SELECT lang, count(*) AS n, sum(ceil(length(content) / 4))::BIGINT AS tokens, max(ceil(length(content) / 4))::BIGINT AS most FROM c JOIN documents USING (doc_id) GROUP BY lang"),
     "contextual_chunks": (contextual_chunks, None),
     "embed_token": (embedded("token"), TOKEN_SQL),
     "embed_signed": (embedded("signed"), SIGNED_SQL),
     "embed_bigram": (embedded("bigram"), BIGRAM_SQL),
     "embed_neighbour": (embedded("neighbour"), NEIGHBOUR_SQL),
-    "embed_char": (embedded("char"), None),
+    "embed_char": (embedded("char"), CHAR_SQL),
     "embed_fnv": (embedded("fnv"), FNV_SQL),
     "event_windows": (event_windows, "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"),
     "memory_latest": (memory_latest, "SELECT key, value, event_id FROM (SELECT user_id::VARCHAR || '/' || event_type AS key, value, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, value DESC, event_id DESC) AS k FROM events) WHERE k = 1"),
