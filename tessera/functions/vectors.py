@@ -17,8 +17,8 @@ def fold(a: Column, b: Column, term) -> Column:
 
 
 def checked(a: Column, b: Column, value: Column) -> Column:
-    """value, or an error if the vectors differ in length."""
-    return F.when(F.size(a) == F.size(b), value).otherwise(F.raise_error(F.lit("vectors differ in dimension")).cast("double"))
+    """value, null if a vector is missing, or an error if the vectors differ in length."""
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(F.size(a) == F.size(b), value).otherwise(F.raise_error(F.lit("vectors differ in dimension")).cast("double"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -38,7 +38,8 @@ def normalize(v: Column) -> Column:
 def cosine(a: Column, b: Column, clamp: bool = True) -> Column:
     n = norm(a) * norm(b)
     value = F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n)
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)) if clamp else value
+    # greatest and least skip nulls
+    return F.when(a.isNotNull() & b.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))) if clamp else value
 
 
 def euclidean(a: Column, b: Column) -> Column:

@@ -54,6 +54,14 @@ def swap_rate(staged: DataFrame) -> DataFrame:
     return by_query.agg(F.count(F.lit(1)).alias("queries"), F.coalesce(F.sum("c"), F.lit(0)).alias("changed"), F.round(F.avg("c"), 6).alias("swap_rate"), F.round(F.avg("shift"), 6).alias("mean_shift"))
 
 
+def candidate_sweep(candidates: DataFrame, sizes: list[int]) -> DataFrame:
+    """(candidate_n, queries, shifted, shift_rate): how often a second score moves another chunk to the top of the first n candidates; candidates (query_id, chunk_id, rank, second), ties to the better rank."""
+    sized = candidates.withColumn("candidate_n", F.explode(F.array(*map(F.lit, sizes)))).where("rank <= candidate_n")
+    firsts = sized.groupBy("candidate_n", "query_id").agg(F.min_by("chunk_id", "rank").alias("one"), F.max_by("chunk_id", F.struct("second", -F.col("rank"))).alias("two"))
+    moved = (F.col("one") != F.col("two")).cast("long")
+    return firsts.groupBy("candidate_n").agg(F.count(F.lit(1)).alias("queries"), F.sum(moved).alias("shifted"), F.round(F.avg(moved), 2).alias("shift_rate"))
+
+
 def report(df: DataFrame) -> str:
     """A small result as an aligned text table, for the console."""
     rows = [df.columns, *([str(v) for v in r] for r in df.limit(200).collect())]

@@ -173,3 +173,9 @@ def secured(df: DataFrame, who: Principal, client: dict | None = None, guard: Gu
     if who.departments:
         allowed = allowed & (public | true_only(F.col(guard.department).isin(*who.departments)) | F.col(guard.department).isNull())
     return df.where(allowed).where(compile_filter(without_field(client or {}, guard.tenant), df.schema))
+
+
+def distinct_values(docs: DataFrame, *fields: str) -> DataFrame:
+    """(field, value, rows): every value of these text fields, missing ones left out; tenants and departments to choose from."""
+    pairs = docs.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("x")).select("x.*")
+    return pairs.where("value is not null").groupBy("field", "value").agg(F.count(F.lit(1)).alias("rows"))

@@ -127,3 +127,15 @@ def phrases(tokens: DataFrame, queries: DataFrame) -> DataFrame:
     size = queries.groupBy("query_id").agg(F.count(F.lit(1)).alias("size"))
     hits = tokens.join(queries, "term").groupBy("query_id", "chunk_id", (F.col("pos") - F.col("at")).alias("pos")).agg(F.count(F.lit(1)).alias("found"))
     return hits.join(size, "query_id").where("found = size").select("query_id", "chunk_id", "pos")
+
+
+def proximity(tokens: DataFrame, asked: DataFrame, within: int) -> DataFrame:
+    """(query_id, chunk_id, n, least): how often the two terms of asked (query_id, a, b), a other than b, stand next to each other but for other words, at most `within` places apart, in any order, and the least distance.
+
+    The least distance of two terms is one between neighbours in the sequence of their places, so no pairs of places are joined.
+    """
+    either = asked.select("query_id", F.explode(F.array("a", "b")).alias("term"))
+    order = Window.partitionBy("query_id", "chunk_id").orderBy("pos")
+    places = tokens.select("chunk_id", "pos", "term").join(either, "term")
+    gaps = places.select("query_id", "chunk_id", "term", F.lag("term").over(order).alias("before"), (F.col("pos") - F.lag("pos").over(order)).alias("gap"))
+    return gaps.where((F.col("term") != F.col("before")) & (F.col("gap") <= within)).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.min("gap").cast("long").alias("least"))

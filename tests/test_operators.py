@@ -225,3 +225,17 @@ def test_settings():
 def test_reciprocal_ranks_ignore_order(order):
     parts = [1 / (60 + r) for r in range(1, 6)]
     assert math.isclose(sum(parts), sum(parts[k] for k in order))
+
+
+def test_tuned_lists_find_nine_tenths(spark, sf_dir):
+    from tessera.plans.search_queries import ivf_tuned_recall
+
+    assert ivf_tuned_recall(spark, sf_dir).agg(F.avg("recall")).first()[0] >= 0.9
+
+
+def test_missing_vectors_score_nothing(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [-1.0, 0.0]), (4, [1.0, 0.001])], "chunk_id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, q array<double>")
+    assert rows(search.stage_one(v, q, 4).select("chunk_id", "score", "rank"), "rank") == [(1, 1.0, 1), (4, 1.0, 2), (2, 0.0, 3), (3, -1.0, 4)]
+    assert rows(search.top_k(v, q, 4).select("chunk_id"), "rank") == [(1,), (4,), (3,)]
+    assert rows(search.top_k(v, q, 4, "dot").select("chunk_id"), "rank") == [(1,), (4,), (3,)]
