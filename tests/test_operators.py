@@ -272,7 +272,7 @@ def test_vectors_of_other_length_are_an_error(spark):
         search.top_k(v, q, 1).collect()
 
 
-@pytest.mark.parametrize("name", ["cosine_topk", "score_threshold", "stage_one_topk", "candidate_sweep", "cosine_unit"])
+@pytest.mark.parametrize("name", ["cosine_topk", "score_threshold", "stage_one_topk", "candidate_sweep", "cosine_unit", "postfilter_topk"])
 def test_no_score_pair_by_pair(spark, sf_dir, name):
     from tessera.plans import registry
 
