@@ -754,3 +754,23 @@ def test_pipeline_odd_rows(spark, sf_dir):
 
 def test_sql_helper(sf_dir):
     assert sql_rows(sf_dir, "SELECT count(*) AS n FROM documents")[1][0][0] > 0
+
+
+def test_near_copies_that_meet_in_rounds_lose_no_link(spark):
+    """Texts of 100 words with two changed each, of which few pairs are linked; the links are those of brute force."""
+    some = random.Random(11)
+    texts = []
+    for k in range(160):
+        own = [f"w{x}" for x in range(100)]
+        for at in some.sample(range(100), 2):
+            own[at] = f"x{k}at{at}"
+        texts.append(" ".join(own))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85).collect()}
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(98)} for t in texts]
+    root = list(range(160))
+    for a in range(160):
+        for b in range(a):
+            if root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    assert got == dict(enumerate(root))
