@@ -774,3 +774,23 @@ def test_near_copies_that_meet_in_rounds_lose_no_link(spark):
                 low, high = sorted((root[a], root[b]))
                 root = [low if x == high else x for x in root]
     assert got == dict(enumerate(root))
+
+
+def test_near_texts_that_stay_apart_are_not_all_paired_up(spark, monkeypatch):
+    """600 texts of 200 words with four to six changed each, few of them linked: pairs whose sets are compared."""
+    some, asked, real = random.Random(1), [], minhash.map_arrow
+    texts = []
+    for _ in range(600):
+        own = [f"w{x}" for x in range(200)]
+        for _ in range(some.randint(4, 6)):
+            own[some.randrange(200)] = f"x{some.random()}"
+        texts.append(" ".join(own))
+
+    def counted(rows, *more):
+        if "text_a" in rows.columns:
+            asked.append(rows.count())
+        return real(rows, *more)
+
+    monkeypatch.setattr(minhash, "map_arrow", counted)
+    assert minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85).count() == 600
+    assert sum(asked) < 105_000  # of 179,700; all sets of a shingle met two, then each other: 126,016
